@@ -12,6 +12,7 @@ and what is left is compared exactly. Hot blocks are dealt as pairs of bounded s
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from ._common import components, materialize, mix, shingle_set, small_batches
 
 LEAF = 16
 FANOUT = 4
-CHUNK = 1 << 14
+CHUNK = 1 << 18
 
 
 def overlap_needed(a, b, num: int, den: int):
@@ -144,20 +145,15 @@ def _texts(batch: pa.RecordBatch, at: int = 1):
 
 def _sketch_partial(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.int64)
+        table = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            held, n = [], 0
             for text in _texts(batch, 0):
-                held.append(shingle_set(text, k) >> np.uint64(64 - bits))
-                n += len(held[-1])
-                if n > 1 << 20:
-                    table += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
-                    held, n = [], 0
-            if n:
-                table += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
+                np.add.at(table, shingle_set(text, k) >> np.uint64(64 - bits), 1)
         for c in range(0, 1 << bits, CHUNK):
             if (part := table[c : c + CHUNK]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([np.minimum(part, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], ["chunk", "counts"])
+                # one task's counts saturate: what reaches 255 is frequent anyway
+                packed = zlib.compress(np.minimum(part, 255).astype(np.uint8), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "counts"])
 
     return run
 
@@ -166,18 +162,26 @@ def _sketch_merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for c, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-            total[c] = total.get(c, 0) + np.frombuffer(v.as_buffer(), "<u4").astype(np.int64)
+            total[c] = total.get(c, 0) + np.frombuffer(zlib.decompress(v.as_buffer()), np.uint8).astype(np.int64)
     for c, v in total.items():
         rank = np.ceil(np.log2(v + 1.0) * 4).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(rank, 1)], pa.binary())], ["chunk", "counts"])
+
+
+def sketch_bits(docs: DataFrame, least: int = 14, most: int = 26) -> int:
+    """A slot for each 8 bytes of input, as planned: then rare shingles stand out from what shares their slots. At most
+    2**26 slots, of one byte each where they are broadcast."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(most, (size // 8).bit_length()))
 
 
 def rarity(docs: DataFrame, text_col: str, k: int, bits: int) -> np.ndarray:
-    """Per slot of the sketch a rank of how often shingles fall there, over all documents: 2**bits bytes, whatever the input."""
+    """Per slot of the sketch a rank of how often shingles fall there, over all documents: 2**bits bytes."""
     parts = docs.select(text_col).mapInArrow(_sketch_partial(k, bits), "chunk int, counts binary")
     out = np.zeros(1 << bits, np.uint8)
-    for c, v in parts.repartition("chunk").mapInArrow(_sketch_merge, "chunk int, counts binary").collect():
-        out[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(v, np.uint8)
+    for c, v in parts.repartition("chunk").mapInArrow(_sketch_merge, "chunk int, counts binary").toLocalIterator():
+        part = np.frombuffer(zlib.decompress(v), np.uint8)
+        out[c * CHUNK : c * CHUNK + len(part)] = part
     return out
 
 
@@ -224,7 +228,7 @@ def _join_blocks(k: int, num: int, den: int):
     return run
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, sketch_bits: int = 20, block_rows: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, bits: int | None = None, block_rows: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
     """Per document (id_col, n_shingles, component_id).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set is the distinct k-word shingles (with fewer words
@@ -233,13 +237,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null id keeps its n_shingles and has a null component. Rows that repeat an id each get a row. Ties need no rule:
     links are symmetric. Other columns are ignored; an empty table gives an empty result.
     block_rows and block_shingles bound the documents that one task holds at a time; larger blocks are dealt as pairs
-    of sub-blocks. sketch_bits: slots of the count sketch (1 MB at 20).
+    of sub-blocks. bits: of the slots of the count sketch; by default as sketch_bits() says.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranks = spark.sparkContext.broadcast(rarity(docs, "text", k, sketch_bits))
-    sets = materialize(docs.mapInArrow(_route(k, num, den, ranks, sketch_bits), "id long, n long, digest binary, keys array<long>"), "prefixes")
+    bits = bits or sketch_bits(docs)
+    ranks = spark.sparkContext.broadcast(rarity(docs, "text", k, bits))
+    sets = materialize(docs.mapInArrow(_route(k, num, den, ranks, bits), "id long, n long, digest binary, keys array<long>"), "prefixes")
     # equal sets are one class, led by its smallest id
     classes = sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     routed = sets.where("n > 0 and id is not null").select("id", F.explode("keys").alias("key"))

@@ -111,17 +111,22 @@ def word_hashes(text, lower: bool = True) -> np.ndarray:
     return np.concatenate(out)
 
 
-def shingle_set(text, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; with fewer words the whole sequence is one; without words empty."""
+def shingles(text, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and, in order, of the k-word shingles; with fewer words the whole sequence is one."""
     words = word_hashes(text)
     n = len(words)
     if n == 0:
-        return words
+        return words, words
     width = min(k, n)
     total = np.full(n - width + 1, np.uint64((width * 0xD6E8FEB86659FD93) & (2**64 - 1)), np.uint64)
     for i in range(width):
         total += words[i : n - width + 1 + i] * np.uint64(((2 * i + 3) * 0xA24BAED4963EE407 | 1) & (2**64 - 1))
-    return np.unique(mix(total))
+    return words, mix(total)
+
+
+def shingle_set(text, k: int) -> np.ndarray:
+    """The sorted distinct hashes of shingles()."""
+    return np.unique(shingles(text, k)[1])
 
 
 # ---- connected components ---------------------------------------------------------------------------------------

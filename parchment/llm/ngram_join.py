@@ -2,11 +2,13 @@
 
 Two documents link when num/den of the union of their shingle sets is shared. Every pair that can link meets in a
 block: of each set only a prefix is routed (under one global order of shingles, two sets that link share a shingle of
-their prefixes, whatever the order). The order puts shingles that a count sketch over all documents shows as rare
-first, so passages that many documents share route nothing; the sketch only moves work, never results. In each block
+their prefixes, whatever the order). The order starts with shingles of rare words and ends with shingles that many
+documents hold, by count sketches over all documents, so common passages route little; the sketches only move work,
+never results. In each block
 a signature tree is built: nodes hold the OR of their documents' token bitmaps and the range of their set sizes. A
-dual traversal from the root drops node pairs whose sizes cannot link or whose largest possible overlap is too small,
-and what is left is compared exactly. Hot blocks are dealt as pairs of bounded sub-blocks.
+dual traversal from the root drops node pairs whose sizes cannot link or whose largest possible overlap is too small.
+That happens twice: on small signatures of fixed size, so that only documents with a partner left travel with their
+texts, and on the whole sets, where what is left is compared exactly. Hot blocks are dealt as pairs of bounded parts.
 """
 
 from __future__ import annotations
@@ -21,11 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import components, materialize, mix, shingle_set, small_batches
+from ._common import components, materialize, mix, shingle_set, shingles, small_batches
 
 LEAF = 16
+#: Elements that a signature samples, and its bits.
+SAMPLE, MAP_BITS = 256, 1024
 FANOUT = 4
-CHUNK = 1 << 18
+#: Slots of each count sketch, the bits of a hash below a slot, and slots that travel together.
+SLOTS = 1 << 20
+_SHIFT = np.uint64(44)
+CHUNK = 1 << 16
+#: Ids of documents to compare that are broadcast; with more, the texts are joined by a shuffle.
+BROADCAST_IDS = 1 << 18
 
 
 def overlap_needed(a, b, num: int, den: int):
@@ -33,27 +42,37 @@ def overlap_needed(a, b, num: int, den: int):
     return -(-(num * (a + b)) // (num + den))
 
 
+def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which of bits slots the hashes fall in, as 64-bit words."""
+    flags = np.zeros(bits, bool)
+    flags[(hashes >> np.uint64(65 - bits.bit_length())).astype(np.int64)] = True
+    return np.packbits(flags).view(np.uint64)
+
+
 class SignatureTree:
-    """Documents in order of (size, smallest hashes); leaves of LEAF documents; FANOUT nodes below each inner node."""
-
-    def __init__(self, sets: list[np.ndarray], ids: list[int], bits: int):
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), tuple(sets[i][:2]), ids[i]))
-        self.sets, self.ids = [sets[i] for i in order], [ids[i] for i in order]
-        self.size = np.array([len(s) for s in self.sets], np.int64)
-        shift = np.uint64(64 - bits.bit_length() + 1)
-        flags = np.zeros((len(sets), bits), bool)
-        for row, s in zip(flags, self.sets):
-            row[(s >> shift).astype(np.int64)] = True
-        self.map = np.packbits(flags, axis=1).view(np.uint64)
-        # tokens that share a bit with another token of the same document: what a bitmap cannot tell
+    """Documents in order of (size, bitmap); leaves of LEAF documents; FANOUT nodes below each inner node.
+
+    Each node has the OR of its documents' bitmaps, the least and largest set size, and the largest slack: elements
+    less bits, which is what a bitmap cannot tell. Two documents share at most their common bits and the smaller slack.
+    """
+
+    def __init__(self, ids: list[int], sizes: list[int], maps: np.ndarray, sets: list[np.ndarray] | None = None):
+        order = np.lexsort((maps[:, 0], np.array(sizes, np.int64)))
+        self.ids = [ids[i] for i in order]
+        self.sets = [sets[i] for i in order] if sets else None
+        self.size, self.map = np.array(sizes, np.int64)[order], maps[order]
         self.slack = self.size - np.bitwise_count(self.map).sum(axis=1, dtype=np.int64)
-        at = np.arange(0, len(sets), LEAF)
+        at = np.arange(0, len(ids), LEAF)
         self.levels = [(np.bitwise_or.reduceat(self.map, at, axis=0), np.minimum.reduceat(self.size, at), np.maximum.reduceat(self.size, at), np.maximum.reduceat(self.slack, at))]
         while len(self.levels[-1][1]) > 1:
             maps, low, high, slack = self.levels[-1]
             at = np.arange(0, len(low), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(maps, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at)))
 
+    @classmethod
+    def of_sets(cls, docs: list[tuple[int, np.ndarray]], bits: int) -> SignatureTree:
+        return cls([d for d, _ in docs], [len(s) for _, s in docs], np.stack([bitmap(s, bits) for _, s in docs]), [s for _, s in docs])
+
 
 def _open_pairs(x, y, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which node pairs may hold a link: by size ranges and by the largest possible overlap."""
@@ -94,6 +113,42 @@ def dual_traversal(x: SignatureTree, y: SignatureTree, num: int, den: int) -> tu
     return i, j
 
 
+def _leaf_pairs(x: SignatureTree, y: SignatureTree, a: int, b: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of two leaves, which pairs of documents may link, and the overlap that each needs."""
+    rows, cols = slice(a * LEAF, (a + 1) * LEAF), slice(b * LEAF, (b + 1) * LEAF)
+    na, nb = x.size[rows][:, None], y.size[cols][None, :]
+    common = np.bitwise_count(x.map[rows][:, None, :] & y.map[cols][None, :, :]).sum(axis=2, dtype=np.int64)
+    need = overlap_needed(na, nb, num, den)
+    ok = (common + np.minimum(x.slack[rows][:, None], y.slack[cols][None, :]) >= need) & (np.minimum(na, nb) >= need)
+    return (np.triu(ok, 1) if x is y and a == b else ok), need
+
+
+def block_partners(left: list[tuple], right: list[tuple] | None, num: int, den: int) -> set[int]:
+    """Ids with some partner in the block that their signatures do not rule out. Items: (id, size, level, map, next map).
+
+    Signatures of large sets hold a sample of their elements, half as many at each level; what is not in the sample is
+    slack. The sizes of documents that link are so near that their levels differ by one at most.
+    """
+    out: set[int] = set()
+    for level in sorted({d[2] for d in left}):
+        trees = []
+        for side in (left, right if right is not None else []):
+            own = [(d[0], d[1], d[3] if d[2] == level else d[4]) for d in side if d[2] in (level, level - 1)]
+            if own:
+                trees.append(SignatureTree([d[0] for d in own], [d[1] for d in own], np.stack([np.frombuffer(d[2], np.uint64) for d in own])))
+        if right is not None and len(trees) < 2:
+            continue
+        x, y = trees[0], trees[-1]
+        for a, b in zip(*(v.tolist() for v in dual_traversal(x, y, num, den))):
+            rows, cols = x.ids[a * LEAF : (a + 1) * LEAF], y.ids[b * LEAF : (b + 1) * LEAF]
+            if out.issuperset(rows) and out.issuperset(cols):
+                continue
+            ok, _ = _leaf_pairs(x, y, a, b, num, den)
+            out.update(d for d, hit in zip(rows, ok.any(axis=1)) if hit)
+            out.update(d for d, hit in zip(cols, ok.any(axis=0)) if hit)
+    return out
+
+
 def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, num: int, den: int) -> tuple[list[tuple[int, int]], int]:
     """A spanning forest of the links within left, or between left and right. Also how many pairs were compared.
 
@@ -102,8 +157,8 @@ def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nd
     every = left + (right or [])
     middle = sorted(len(s) for _, s in every)[len(every) // 2]
     bits = min(1 << 14, max(256, 1 << (4 * middle - 1).bit_length()))
-    x = SignatureTree([s for _, s in left], [d for d, _ in left], bits)
-    y = x if right is None else SignatureTree([s for _, s in right], [d for d, _ in right], bits)
+    x = SignatureTree.of_sets(left, bits)
+    y = x if right is None else SignatureTree.of_sets(right, bits)
     parent: dict[int, int] = {}
 
     def find(v: int) -> int:
@@ -120,12 +175,9 @@ def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nd
         ra, rb = [find(d) for d in x.ids[rows]], [find(d) for d in y.ids[cols]]
         if len({*ra, *rb}) == 1:
             continue
-        na, nb = x.size[rows][:, None], y.size[cols][None, :]
-        common = np.bitwise_count(x.map[rows][:, None, :] & y.map[cols][None, :, :]).sum(axis=2, dtype=np.int64)
-        need = overlap_needed(na, nb, num, den)
-        ok = (common + np.minimum(x.slack[rows][:, None], y.slack[cols][None, :]) >= need) & (np.minimum(na, nb) >= need)
+        ok, need = _leaf_pairs(x, y, a, b, num, den)
         for p, q in np.argwhere(ok):
-            if (x is y and a == b and p >= q) or (u := find(x.ids[a * LEAF + p])) == (v := find(y.ids[b * LEAF + q])):
+            if (u := find(x.ids[a * LEAF + p])) == (v := find(y.ids[b * LEAF + q])):
                 continue
             compared += 1
             s, t = x.sets[a * LEAF + p], y.sets[b * LEAF + q]
@@ -143,17 +195,17 @@ def _texts(batch: pa.RecordBatch, at: int = 1):
         yield v.as_buffer() if v.is_valid else b""
 
 
-def _sketch_partial(k: int, bits: int):
+def _sketch_partial(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.uint32)
+        table = np.zeros((2, SLOTS), np.uint32)
         for batch in batches:
             for text in _texts(batch, 0):
-                np.add.at(table, shingle_set(text, k) >> np.uint64(64 - bits), 1)
-        for c in range(0, 1 << bits, CHUNK):
-            if (part := table[c : c + CHUNK]).any():
-                # one task's counts saturate: what reaches 255 is frequent anyway
-                packed = zlib.compress(np.minimum(part, 255).astype(np.uint8), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "counts"])
+                words, found = shingles(text, k)
+                np.add.at(table[0], words >> _SHIFT, 1)
+                np.add.at(table[1], np.unique(found) >> _SHIFT, 1)
+        for c, part in enumerate(table.reshape(-1, CHUNK)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(part, 1)], pa.binary())], ["chunk", "counts"])
 
     return run
 
@@ -162,73 +214,109 @@ def _sketch_merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for c, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-            total[c] = total.get(c, 0) + np.frombuffer(zlib.decompress(v.as_buffer()), np.uint8).astype(np.int64)
+            total[c] = total.get(c, 0) + np.frombuffer(zlib.decompress(v.as_buffer()), np.uint32).astype(np.int64)
     for c, v in total.items():
-        rank = np.ceil(np.log2(v + 1.0) * 4).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(rank, 1)], pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(v, 1)], pa.binary())], ["chunk", "counts"])
+
 
+def rarity(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each slot of words its weight (eighths of the binary logarithm of how often they occur), and of each slot of
+    shingles its class: 0, or more for those far above the mean. A byte each, 2 * SLOTS bytes whatever the input."""
+    parts = docs.select(text_col).mapInArrow(_sketch_partial(k), "chunk int, counts binary")
+    n = np.zeros((2, SLOTS), np.int64)
+    for c, v in parts.repartition("chunk").mapInArrow(_sketch_merge, "chunk int, counts binary").toLocalIterator():
+        n.reshape(-1, CHUNK)[c] = np.frombuffer(zlib.decompress(v), np.int64)
+    often = np.maximum(n[1] / (2 * n[1].mean() + 8), 0.5)
+    return np.minimum(np.log2(n[0] + 1.0) * 8, 255).astype(np.uint8), np.minimum(np.floor(np.log2(often)) + 1, 15).astype(np.uint8)
 
-def sketch_bits(docs: DataFrame, least: int = 14, most: int = 26) -> int:
-    """A slot for each 8 bytes of input, as planned: then rare shingles stand out from what shares their slots. At most
-    2**26 slots, of one byte each where they are broadcast."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(most, (size // 8).bit_length()))
 
+def _order(words: np.ndarray, found: np.ndarray, weight: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The place of each shingle in the global order: frequent shingles last, then by how common their words are.
 
-def rarity(docs: DataFrame, text_col: str, k: int, bits: int) -> np.ndarray:
-    """Per slot of the sketch a rank of how often shingles fall there, over all documents: 2**bits bytes."""
-    parts = docs.select(text_col).mapInArrow(_sketch_partial(k, bits), "chunk int, counts binary")
-    out = np.zeros(1 << bits, np.uint8)
-    for c, v in parts.repartition("chunk").mapInArrow(_sketch_merge, "chunk int, counts binary").toLocalIterator():
-        part = np.frombuffer(zlib.decompress(v), np.uint8)
-        out[c * CHUNK : c * CHUNK + len(part)] = part
-    return out
+    A shingle with a rare word is rare itself, however many documents there are; what is frequent against its words
+    (a passage that many documents hold) shows in the counts of shingles.
+    """
+    w = weight[words >> _SHIFT].astype(np.uint64)
+    common = w[: len(found)].copy()
+    for i in range(1, len(words) - len(found) + 1):
+        common += w[i : i + len(found)]
+    return kind[found >> _SHIFT].astype(np.uint64) << np.uint64(60) | np.minimum(common, np.uint64(4095)) << np.uint64(48) | mix(found) >> np.uint64(16)
 
 
-def _route(k: int, num: int, den: int, ranks, bits: int):
+def signature(s: np.ndarray) -> tuple[int, bytes, bytes]:
+    """(level, map, next): bitmaps of the elements that level and level + 1 sample, SAMPLE at most but for chance."""
+    level = max(0, -(-len(s) // SAMPLE) - 1).bit_length()
+    h = mix(s)
+    return level, *(bitmap(h[h & np.uint64((1 << x) - 1) == 0], MAP_BITS).tobytes() for x in (level, level + 1))
+
+
+def _route(k: int, num: int, den: int, tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks.value
+        weight, kind = tables.value
         for batch in batches:
-            n, digest, keys, ends = [], [], [], [0]
+            n, digest, keys, ends, signs = [], [], [], [0], []
             for text in _texts(batch):
-                s = shingle_set(text, k)
+                words, found = shingles(text, k)
+                s = np.unique(found)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s, digest_size=16).digest())
+                signs.append(signature(s))
                 if len(s):
-                    order = mix(s) >> np.uint64(8) | rank[s >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(56)
-                    length = len(s) - -(-(num * len(s)) // den) + 1
-                    keys.append(np.partition(order, length - 1)[:length] if length < len(s) else order)
+                    keys.append(np.unique(_order(words, found, weight, kind))[: len(s) - -(-(num * len(s)) // den) + 1])
                 ends.append(ends[-1] + (len(keys[-1]) if len(s) else 0))
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "n", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array([x[i] for x in signs], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary())))], ["id", "n", "digest", "keys", "level", "map", "next"])
 
     return run
 
 
-def _join_blocks(k: int, num: int, den: int):
+def _by_block(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, list, list | None]]:
+    """(block, left rows, right rows or None) of rows sorted by lead, i, j, side. names: the columns of a row."""
+    now, sides = None, ([], [])
+    for batch in batches:
+        blocks = zip(*(batch.column(c).to_pylist() for c in ("lead", "i", "j", "side")))
+        rows = zip(*(_texts(batch, batch.schema.get_field_index(c)) if c == "text" else batch.column(c).to_pylist() for c in names))
+        for (lead, i, j, side), row in zip(blocks, rows):
+            if (lead, i, j) != now:
+                if now is not None:
+                    yield now, sides[0], None if now[1] == now[2] else sides[1]
+                now, sides = (lead, i, j), ([], [])
+            sides[side].append(row)
+    if now is not None:
+        yield now, sides[0], None if now[1] == now[2] else sides[1]
+
+
+def _prune_blocks(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides = None, ([], [])
+        for (lead, _, _), left, right in _by_block(batches, ("id", "n", "level", "map", "next")):
+            if len(left) > 1 if right is None else left and right:
+                kept = sorted(block_partners(left, right, num, den))
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([lead] * len(kept), pa.int64())], ["id", "lead"])
 
-        def flush():
-            left, right = sides
-            out = []
-            if now is not None and (now[1] == now[2] and len(left) > 1 or left and right):
-                out, _ = block_links(left, right if now[1] != now[2] else None, num, den)
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+    return run
 
-        for batch in batches:
-            heads = zip(*(batch.column(c).to_pylist() for c in ("lead", "i", "j", "side", "id")))
-            for (lead, i, j, side, doc), text in zip(heads, _texts(batch, batch.schema.get_field_index("text"))):
-                if (lead, i, j) != now:
-                    yield flush()
-                    now, sides = (lead, i, j), ([], [])
-                sides[side].append((doc, shingle_set(text, k)))
-        yield flush()
+
+def _join_blocks(k: int, num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, left, right in _by_block(batches, ("id", "text")):
+            if len(left) > 1 if right is None else left and right:
+                sets = [None if side is None else [(d, shingle_set(t, k)) for d, t in side] for side in (left, right)]
+                out, _ = block_links(*sets, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, bits: int | None = None, block_rows: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
+def _deal(rows: DataFrame, most: dict[str, int]) -> DataFrame:
+    """rows of (lead, id, ...) by block, or, where a block exceeds most (rows: *, or sums), by pairs (i, j) of its parts."""
+    parts = F.greatest(*[F.ceil((F.count("*") if c == "*" else F.sum(c)) / n) for c, n in most.items()], F.lit(1)).cast("int")
+    both = rows.join(rows.groupBy("lead").agg(parts.alias("parts")), "lead").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    both = both.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = both.select(*rows.columns, F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), (F.col("p") > F.col("o")).cast("int").alias("side"))
+    return dealt
+
+
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, block_rows: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
     """Per document (id_col, n_shingles, component_id).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set is the distinct k-word shingles (with fewer words
@@ -237,33 +325,32 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null id keeps its n_shingles and has a null component. Rows that repeat an id each get a row. Ties need no rule:
     links are symmetric. Other columns are ignored; an empty table gives an empty result.
     block_rows and block_shingles bound the documents that one task holds at a time; larger blocks are dealt as pairs
-    of sub-blocks. bits: of the slots of the count sketch; by default as sketch_bits() says.
+    of sub-blocks.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bits = bits or sketch_bits(docs)
-    ranks = spark.sparkContext.broadcast(rarity(docs, "text", k, bits))
-    sets = materialize(docs.mapInArrow(_route(k, num, den, ranks, bits), "id long, n long, digest binary, keys array<long>"), "prefixes")
+    tables = spark.sparkContext.broadcast(rarity(docs, "text", k))
+    sets = materialize(docs.mapInArrow(_route(k, num, den, tables), "id long, n long, digest binary, keys array<long>, level int, map binary, next binary"), "prefixes")
     # equal sets are one class, led by its smallest id
     classes = sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     routed = sets.where("n > 0 and id is not null").select("id", F.explode("keys").alias("key"))
     # the smallest id with a key leads its block; a running first needs no buffer for hot keys
     first = F.first("id").over(Window.partitionBy("key").orderBy("id"))
     pairs = routed.select("id", first.alias("lead")).where("id <> lead").distinct()
-    member = materialize(pairs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "members")
+    member = pairs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    member = materialize(member, "members")
     member = member.unionByName(member.select(F.col("lead").alias("id"), "lead").distinct())
-    sized = member.join(sets.where("n > 0").groupBy("id").agg(F.max("n").alias("n")), "id")
-    dealt = sized.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    task = (
-        sized.join(dealt, "lead")
-        .select("id", "lead", "parts", part.alias("p"))
-        .select("id", "lead", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-        .select("id", "lead", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), (F.col("p") > F.col("o")).cast("int").alias("side"))
-    )
-    rows = task.join(docs, "id").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "side", "id")
-    links = rows.select("lead", "i", "j", "side", "id", "text").mapInArrow(_join_blocks(k, num, den), "a long, b long")
+    signs = sets.where("n > 0 and id is not null").select("id", "digest", "n", "level", "map", "next").dropDuplicates(["id", "digest"]).drop("digest")
+    order = ["lead", "i", "j", "side", "id"]
+    blocks = _deal(member.join(signs, "id"), {"*": block_rows}).repartition("lead", "i", "j").sortWithinPartitions(*order)
+    near = materialize(blocks.select(*order, "n", "level", "map", "next").mapInArrow(_prune_blocks(num, den), "id long, lead long").distinct(), "partners")
+    sizes = sets.where("n > 0 and id is not null").groupBy("id").agg(F.max("n").alias("n"))
+    wanted = near.select("id").distinct()
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    rows = _deal(near.join(sizes, "id"), {"*": block_rows, "n": block_shingles}).select(*order).join(texts, "id")
+    links = rows.repartition("lead", "i", "j").sortWithinPartitions(*order).select(*order, "text").mapInArrow(_join_blocks(k, num, den), "a long, b long")
     groups = components(links)
     return (
         sets.select("id", "n", "digest")

@@ -7,7 +7,7 @@ documents hold, by count sketches over all documents, so common passages route l
 never results. In each block
 a signature tree is built: nodes hold the OR of their documents' token bitmaps and the range of their set sizes. A
 dual traversal from the root drops node pairs whose sizes cannot link or whose largest possible overlap is too small.
-That happens twice: on small signatures of fixed size, so that only documents with a partner left travel with their
+That happens twice: on small signatures, so that only documents with a partner left travel with their
 texts, and on the whole sets, where what is left is compared exactly. Hot blocks are dealt as pairs of bounded parts.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from ._common import components, materialize, mix, shingle_set, shingles, small_batches
 
 LEAF = 16
-#: Elements that a signature samples, and its bits.
+#: Elements that small sets have at most at level 0, and the least bits of a signature.
 SAMPLE, MAP_BITS = 256, 1024
 FANOUT = 4
 #: Slots of each count sketch, the bits of a hash below a slot, and slots that travel together.
@@ -126,8 +126,7 @@ def _leaf_pairs(x: SignatureTree, y: SignatureTree, a: int, b: int, num: int, de
 def block_partners(left: list[tuple], right: list[tuple] | None, num: int, den: int) -> set[int]:
     """Ids with some partner in the block that their signatures do not rule out. Items: (id, size, level, map, next map).
 
-    Signatures of large sets hold a sample of their elements, half as many at each level; what is not in the sample is
-    slack. The sizes of documents that link are so near that their levels differ by one at most.
+    Signatures of large sets hold a sample of their elements; what is not in the sample is slack. The sizes of documents that link are so near that their levels differ by one at most.
     """
     out: set[int] = set()
     for level in sorted({d[2] for d in left}):
@@ -244,10 +243,11 @@ def _order(words: np.ndarray, found: np.ndarray, weight: np.ndarray, kind: np.nd
 
 
 def signature(s: np.ndarray) -> tuple[int, bytes, bytes]:
-    """(level, map, next): bitmaps of the elements that level and level + 1 sample, SAMPLE at most but for chance."""
+    """(level, map, next): bitmaps of a set of up to SAMPLE * 2**level elements as of level and level + 1. Up to level 2
+    a level halves the sample; from there on a quarter is sampled (fewer could not rule a link out) and maps grow."""
     level = max(0, -(-len(s) // SAMPLE) - 1).bit_length()
     h = mix(s)
-    return level, *(bitmap(h[h & np.uint64((1 << x) - 1) == 0], MAP_BITS).tobytes() for x in (level, level + 1))
+    return level, *(bitmap(h[h & np.uint64((1 << min(x, 2)) - 1) == 0], MAP_BITS << max(0, x - 2)).tobytes() for x in (level, level + 1))
 
 
 def _route(k: int, num: int, den: int, tables):

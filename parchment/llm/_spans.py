@@ -19,19 +19,22 @@ def found(text: Column, pattern: str, maybe: Column) -> Column:
     marks give the offsets.
     """
     marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, _NEITHER * 2), F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}"))
-    pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)  # text, match, text, match, ..., text
     kind = "struct<at:int,out:array<struct<start:int,end:int,value:string>>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")).cast(kind)
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    first = F.struct(F.lit(0).alias("at"), none.alias("out")).cast(kind)
 
-    def step(state: Column, i: Column) -> Column:
-        value = F.element_at(pieces, i)
-        stop = state["at"] + F.length(value)
-        span = F.struct(state["at"].alias("start"), stop.alias("end"), value.alias("value"))
-        return F.struct(stop.alias("at"), F.when(i % 2 == 0, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out")).cast(kind)
+    def located(pieces: Column) -> Column:  # text, match, text, match, ..., text
+        def step(state: Column, i: Column) -> Column:
+            value = F.element_at(pieces, i)
+            stop = state["at"] + F.length(value)
+            span = F.struct(state["at"].alias("start"), stop.alias("end"), value.alias("value"))
+            return F.struct(stop.alias("at"), F.when(i % 2 == 0, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out")).cast(kind)
 
-    spans = F.aggregate(F.sequence(F.lit(1), F.size(pieces)), first, step, lambda s: s["out"])
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(F.coalesce(maybe, F.lit(False)), F.when(text.rlike(pattern), spans).otherwise(none)).otherwise(none)
+        return F.when(F.size(pieces) > 1, F.aggregate(F.sequence(F.lit(1), F.size(pieces)), first, step, lambda s: s["out"])).otherwise(none)
+
+    # bound as a lambda's variable, the replacement is computed once
+    spans = F.transform(F.array(F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)), located)[0]
+    return F.when(F.coalesce(maybe, F.lit(False)), spans).otherwise(none)
 
 
 def around(text: Column, start: Column, end: Column, chars: int) -> tuple[Column, Column]:

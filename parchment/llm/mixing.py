@@ -144,22 +144,24 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text as it is; a partial one has the words it draws, joined by spaces. n_chars, if there, is computed again. Rows
     are dealt by shard and shuffled within it. Rows that repeat an id and its text count once here; a null source is
     one source, and documents without words take nothing."""
-    key = "__text"
-    marked = docs.withColumn(key, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    sized = _sized(marked.withColumn("__id", F.struct(F.col(id_col).alias("id"), F.col(key).alias("text"))), "__id", text_col, source_col)
+    parts = F.coalesce(F.col(id_col).cast("string"), F.lit("\u0002")), F.coalesce(F.col(text_col), F.lit(""))
+    marked = docs.withColumn("__key", F.sha2(F.concat_ws("\u0001", *parts), 256))
+    sized = _sized(marked, "__key", text_col, source_col)
     quotas = _quotas(sized.groupBy("id").agg(F.min("source").alias("source"), F.min("size").alias("size")), shard_words, seed, **shares)
-    runs = quotas.select(F.col("id").alias("__id"), "size", F.explode("draws").alias("d")).groupBy("__id", "d.pass").agg(
-        F.sum("d.words").alias("words"), F.first("size").alias("size"), F.min("d.shard").alias("shard"),
-        F.array_sort(F.collect_list(F.struct(F.col("d.from").alias("from"), F.col("d.words").alias("words")))).alias("ranges"),
+    runs = quotas.select(F.col("id").alias("__key"), F.col("size").alias("__size"), F.explode("draws").alias("d")).groupBy("__key", F.col("d.pass").alias("__pass")).agg(
+        F.sum("d.words").alias("__words"), F.first("__size").alias("__size"), F.min("d.shard").alias("__shard"),
+        F.array_sort(F.collect_list(F.struct(F.col("d.from").alias("from"), F.col("d.words").alias("words")))).alias("__ranges"),
     )
-    out = runs.join(marked.dropDuplicates([id_col, key]), F.col("__id.id").eqNullSafe(F.col(id_col)) & (F.col("__id.text") == F.col(key)))
+    # one shuffle of the texts serves the join and what finds repeated rows
+    nth = F.row_number().over(Window.partitionBy("__key", "__pass").orderBy("__shard"))
+    out = runs.join(marked, "__key").withColumn("__nth", nth).where("__nth = 1")
     words = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["words"].cast("int")))), " ")
-    out = out.withColumn(text_col, F.when(F.col("words") < F.col("size"), cut).otherwise(F.col(text_col)))
+    cut = F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["words"].cast("int")))), " ")
+    out = out.withColumn(text_col, F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    spread = F.xxhash64(F.lit(29), "__id", "pass")
-    return out.repartition("shard").sortWithinPartitions("shard", spread).select(*docs.columns)
+    spread = F.xxhash64(F.lit(29), "__key", "__pass")
+    return out.repartition("__shard").sortWithinPartitions("__shard", spread).select(*docs.columns)
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

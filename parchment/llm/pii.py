@@ -115,7 +115,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], "").otherwise("[TERM]").alias("mark"))).cast(plain),
     )
     state = "struct<at:int,out:array<string>>"
-    hits = hits.groupBy(id_col, "digest").agg(F.first(F.array_sort(marks)).alias("marks")).select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), "marks")
+    hits = hits.groupBy(id_col, "digest").agg(F.first(F.array_sort(marks)).alias("marks")).select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), F.col("marks").alias("__marks"))
     text = F.col(text_col)
     both = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("__digest")), "left")
 
@@ -124,8 +124,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         return F.struct(F.greatest(a["at"], m["end"]).alias("at"), F.when(m["start"] >= a["at"], new).otherwise(a["out"]).alias("out")).cast(state)
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
-    clean = F.aggregate("marks", first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
-    both = both.withColumn(text_col, F.when(F.col("marks").isNotNull(), clean).otherwise(text))
+    clean = F.aggregate("__marks", first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
+    both = both.withColumn(text_col, F.when(F.col("__marks").isNotNull(), clean).otherwise(text))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return both.select(*docs.columns)

@@ -179,11 +179,14 @@ def parse(data: bytes | None) -> dict | None:
     at = start
     while at < end:
         h = header(data[at : at + 4])
-        if h is None or at + h[0] > end or (not offsets and at + h[0] < end and header(data[at + h[0] : at + h[0] + 4]) is None):
+        ok = h is not None and at + h[0] <= end
+        if not ok or (at + h[0] < end and header(data[at + h[0] : at + h[0] + 4]) is None):
+            # what no frame follows is one itself only if none starts within it
             found = _next_frame(data, at + 1, end)
-            skipped += found - at
-            at = found
-            continue
+            if not ok or found < at + h[0] or not offsets:
+                skipped += found - at
+                at = found
+                continue
         size, n, hz, kbps, *_ = h
         if h[8]:
             body = data[at + 6 : at + 6 + max(h[9], 64)]

@@ -1,0 +1,379 @@
+"""Each operator against a plain version on small data, and on rows that are null, empty, long, tied or repeated."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from parchment.llm import ann, mixing, mpeg_audio, ngram_join, packing, pii, quality, quotes, secrets, warc
+
+LONG = "wort " * 30_000 + "+1 (743) 555-3824 " + "x" * 20_000
+ODD = [(1, None, None), (2, "", "a"), (3, LONG, "a"), (4, "one two three four five six", "b"), (5, "one two three four five six", "b"), (5, "one two three four five six", "b"), (6, "  \n ", "é"), (None, "no id here", "b"), (7, "a\u0001b@c.d \U0001f600 e@f.g", "z")]
+SCHEMA = "doc_id long, text string, source string, digest string, marks int, size int, shard int, audio int, keys int"
+
+
+def odd(spark):
+    return spark.createDataFrame([(*r, "d", 1, 2, 3, 4, 5) for r in ODD], SCHEMA)
+
+
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def prose(n, seed=1, vocabulary=400):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(vocabulary)]
+    out = []
+    for i in range(n):
+        if out and r.random() < 0.4:
+            ws = out[r.randrange(len(out))].split()
+            for _ in range(r.randint(0, 3)):
+                ws[r.randrange(len(ws))] = r.choice(words)
+        else:
+            ws = [r.choice(words) for _ in range(r.randint(1, 90))]
+        out.append(" ".join(ws))
+    return out
+
+
+# ---- 3 ------------------------------------------------------------------------------------------------------------------
+
+
+def components(docs, k, num, den):
+    low = {i: i + 32 for i in range(65, 91)}
+    sets = {}
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    top = {d: d for d in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    ids = sorted(sets)
+    for i, x in enumerate(ids):
+        for y in ids[i + 1 :]:
+            common = len(sets[x] & sets[y])
+            if common and den * common >= num * (len(sets[x]) + len(sets[y]) - common):
+                u, v = find(x), find(y)
+                top[max(u, v)] = min(u, v)
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+@pytest.mark.parametrize("k,num,rows", [(3, 90, 4096), (5, 80, 4096), (3, 60, 3)])
+def test_components_equal_those_of_all_pairs(spark, k, num, rows):
+    docs = list(enumerate(prose(260)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(df, k=k, num=num, block_rows=rows).collect()}
+    assert got == components(docs, k, num, 100)
+
+
+def test_signatures_never_rule_out_a_link():
+    r = np.random.default_rng(4)
+    for n in (30, 300, 900, 3000, 9000):
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: int(n * 0.96)], r.integers(0, 2**63, int(n * 0.03), dtype=np.uint64))))
+        other = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        rows = [(i, len(s), *ngram_join.signature(s)) for i, s in enumerate((a, b, other))]
+        assert ngram_join.block_partners(rows, None, 90, 100) == {0, 1}
+
+
+def test_components_of_odd_rows(spark):
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_documents(odd(spark)).collect()), key=str)
+    assert (1, 0, 1) in got and (2, 0, 2) in got and (6, 0, 6) in got and (None, 1, None) in got
+    assert [g for g in got if g[0] in (4, 5)] == [(4, 4, 4), (5, 4, 4), (5, 4, 4)]
+    assert ngram_join.link_documents(none(spark)).collect() == []
+
+
+def test_one_of_each_group_stays(spark):
+    kept = ngram_join.keep_one(odd(spark))
+    assert kept.columns == odd(spark).columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "None"]
+
+
+# ---- 1 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_search_finds_nine_in_ten_and_ranks_exactly(spark):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((3000, 24)).astype(np.float32)
+    x[100:160] = x[7]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for row in ann.search(df, F.col("vec_id") % 100 == 0, shard_rows=700).collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
+    assert sorted(got) == list(range(0, 3000, 100))
+    y, hit = x.astype(float), 0
+    for q, rows in got.items():
+        s = (y * y[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]
+        assert [a for a, _, _ in sorted(rows)] == list(range(1, 21))
+        hit += len({v for _, v, _ in rows} & set(order))
+        assert all(abs(sc - s[v]) < 1e-9 for _, v, sc in rows)
+        ranked = [(-sc, v) for _, v, sc in sorted(rows)]
+        assert ranked == sorted(ranked)
+    assert hit >= 0.9 * 20 * len(got)
+
+
+def test_search_leaves_out_what_is_no_vector(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (None, [1.0, 1.0]), (20, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == [(0, 1, 7, 0.5), (0, 2, 20, 0.0), (20, 1, 7, 1.0), (20, 2, 0, 0.0)]
+    assert ann.search(df.where("vec_id < 0"), F.lit(True)).collect() == []
+
+
+# ---- 2 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_carried_bytes_come_back(spark):
+    for r in mpeg_audio.digest_media(mpeg_audio.store_texts(odd(spark))).collect():
+        texts = {(t or "").encode() for d, t, _ in ODD if d == r.doc_id}
+        raw = next(t for t in texts if len(t) == r.n_bytes)
+        padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    assert mpeg_audio.digest_media(mpeg_audio.store_texts(none(spark))).collect() == []
+
+
+def test_parser_resynchronises_and_checks(spark):
+    data = mpeg_audio.carry(bytes(range(256)) * 30)
+    p = mpeg_audio.parse(data)
+    assert p["n_frames"] == p["vbr_frames"] == 6 and p["crc_bad"] == 0 and p["duration_ticks"] == 6 * 1152 * (mpeg_audio.TICKS // 32000)
+    at = p["frame_offsets"]
+    broken = data[: at[2]] + b"\xff\xfbjunk" * 9 + data[at[2] : at[4] + 10] + b"\x01" + data[at[4] + 11 :] + b"TAG" + b"title".ljust(125, b"\0")
+    q = mpeg_audio.parse(broken)
+    assert (q["n_frames"], q["skipped_bytes"], q["crc_bad"], q["tags"]["title"]) == (6, 54, 1, "title")
+    assert q["frame_offsets"][2] == at[2] + 54
+    assert mpeg_audio.parse(b"")["n_frames"] == 0 and mpeg_audio.parse(None) is None and mpeg_audio.parse(b"\xff" * 5000)["n_frames"] == 0
+    rows = spark.createDataFrame([(1, bytearray(broken), 5), (2, None, 6), (3, bytearray(b"x"), 7)], "i int, media binary, audio int")
+    assert [(r.i, r.audio and r.audio.n_frames) for r in mpeg_audio.analyse_media(rows).orderBy("i").collect()] == [(1, 6), (2, None), (3, 0)]
+
+
+def test_other_layers_and_variable_rates():
+    def frame(b1, b2, b3=0):
+        h = bytes((0xFF, b1, b2, b3))
+        return h + bytes(mpeg_audio.header(h)[0] - 4)
+
+    layer2 = frame(0xFD, 0x84) * 3 + frame(0xFD, 0xA4) * 2  # 48 kHz, two bitrates
+    p = mpeg_audio.parse(layer2)
+    assert (p["layer"], p["n_frames"], p["samples"], p["sample_rate"], p["min_kbps"] < p["max_kbps"]) == (2, 5, 5760, 48000, True)
+    low = mpeg_audio.parse(frame(0xE3, 0x80) * 4)  # version 2.5
+    assert (low["version"], low["samples"], low["sample_rate"]) == ("2.5", 4 * 576, 11025)
+    first = frame(0xFF, 0x14)
+    bits = mpeg_audio._protected_bits(mpeg_audio.header(first[:4]), first[6:])
+    assert mpeg_audio.header(first[:4])[5] == 1 and bits == 256
+
+
+# ---- 4 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_secrets_are_kept_and_words_removed(spark):
+    r = random.Random(8)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(3)]
+    texts = [f'den token = "{hexes[0]}" und', "der Verarbeitungskeitmentung thanontionering und", f"api_key: {hexes[1]} x", f"see commit {hexes[2]} and path usr/local/share/things/here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secrets.scan(df).collect()
+    assert {x.candidate for x in rows if x.is_secret} == set(hexes[:2])
+    assert all(texts[x.doc_id][x.start : x.end] == x.candidate for x in rows)
+    assert secrets.scan(none(spark)).collect() == []
+    assert all(not x.is_secret for x in secrets.scan(odd(spark)).collect())
+
+
+def test_forest_on_held_out_findings(spark):
+    findings = secrets.labelled_findings(900, seed=77)
+    df = spark.createDataFrame([(i, f"{b}{c}{a}") for i, (b, c, a, _) in enumerate(findings)], "doc_id long, text string")
+    best = {}
+    for x in secrets.scan(df).collect():
+        best[x.doc_id] = max(best.get(x.doc_id, 0), x.score)
+    right = sum((best.get(i, 0) >= 0.5) == bool(y) for i, (*_, y) in enumerate(findings))
+    assert right >= 0.93 * len(findings)
+
+
+# ---- 5 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_targets_share_what_is_left():
+    got = mixing.targets({"a": 100, "b": 1000, "c": 1000, None: 10})
+    assert got["a"] == 200 and got[None] == 20 and sum(got.values()) == pytest.approx(1.5 * 2110)
+    assert got["c"] / got["b"] == pytest.approx(2)
+    assert mixing.targets({}) == {} and mixing.targets({"x": 0}) == {"x": 0}
+
+
+def test_tree_keeps_quotas_and_balances_shards():
+    q = [1000, 1, 0, 523]
+    out = mixing.split_quotas(q, 7, 3)
+    assert out.sum(axis=0).tolist() == q and out.sum(axis=1).max() - out.sum(axis=1).min() <= 4
+
+
+def test_mixture_meets_targets(spark):
+    r = random.Random(5)
+    rows = [(i, "w " * r.randint(0, 400), r.choice(["s1", "s2", "s3", None]) if i % 3 else "s1") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_quotas(df, shard_words=50_000)
+    per = got.join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("n"), F.sum("size").alias("m")).collect()
+    for p in per:
+        assert p.n == p.m and abs(p.taken - p.target) <= 0.01 * p.target + 1024
+    assert got.where("taken > 2 * size").count() == 0
+    again = sorted((x.doc_id, x.taken) for x in mixing.mix_quotas(df.repartition(7), shard_words=50_000).collect())
+    assert again == sorted((x.doc_id, x.taken) for x in got.collect())
+    made = mixing.mix_documents(df, shard_words=50_000)
+    assert made.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == pytest.approx(sum(p.taken for p in per), rel=0.01)
+
+
+def test_mixture_of_odd_rows(spark):
+    assert mixing.mix_quotas(odd(spark)).count() == len(ODD) and mixing.mix_quotas(none(spark)).collect() == []
+    made = mixing.mix_documents(odd(spark))
+    assert made.columns == odd(spark).columns and made.where("doc_id = 1 or doc_id = 2").count() == 0
+    assert made.where("doc_id = 5 and length(text) > 27").count() == 0
+    assert mixing.mix_documents(none(spark)).collect() == []
+
+
+# ---- 6 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_votes_on_held_out_documents(spark):
+    good, bad = prose(300, 3), [t.upper().replace(" ", "!! ") for t in prose(300, 4)]
+    rows = [(2 * i, g) for i, g in enumerate(good)] + [(2 * i + 1, b) for i, b in enumerate(bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality.fit(docs, labels.where(~quality.held_out()), fit_rows=200)
+    got = quality.score(docs, model).where(quality.held_out()).collect()
+    assert sum((r.score >= 0.7) == (r.doc_id % 2 == 0) for r in got) >= 0.97 * len(got)
+    assert all(0 <= r.score <= 1 for r in quality.score(odd(spark), model).collect())
+    kept = quality.keep(odd(spark), model, 0.0)
+    assert kept.columns == odd(spark).columns and kept.count() == len(ODD)
+    assert quality.score(none(spark), model).collect() == []
+    assert quality.fit(docs, labels.limit(0)) is None and quality.score(odd(spark), None).count() == len(ODD)
+
+
+# ---- 7 ------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_hold_every_piece_and_beat_best_fit(seed):
+    r = np.random.default_rng(seed)
+    counts = np.zeros(257, np.int64)
+    np.add.at(counts, r.integers(1 if seed % 2 else 60, (257, 150, 100)[seed % 3], 40 * 4 ** (seed % 3)), 1)
+    plan = packing.bin_completion(counts)
+    again = np.zeros_like(counts)
+    for items, n in plan:
+        assert sum(items) <= 256
+        np.add.at(again, list(items), n)
+    assert (again == counts).all()
+    made = sum(n for _, n in plan)
+    assert packing.lower_bound(counts) <= made <= sum(n for _, n in packing.best_fit_decreasing(counts))
+
+
+def test_completion_beats_an_unlucky_best_fit():
+    counts = np.zeros(101, np.int64)
+    for x in (63, 50, 49, 46, 39, 37, 37, 28, 27, 27, 19, 19, 18, 15, 11, 8, 4, 3):  # five full sequences
+        counts[x] += 1
+    assert sum(n for _, n in packing.best_fit_decreasing(counts)) == 6
+    assert sum(n for _, n in packing.bin_completion(counts, width=8)) == 5
+
+
+def test_packed_sequences(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    t = Tokenizer.from_file(path)
+    docs = [(i, x) for i, x in enumerate(prose(80, 9))] + [(100, LONG), (101, None), (102, ""), (103, ""), (103, ""), (None, "x <|endoftext|> é")]
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), path, ranked=10).collect()
+    places, ids = {}, {}
+    for i, x in docs:
+        ids.setdefault(i, []).append(t.encode(x or "", add_special_tokens=False).ids + [0])
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert any(zlib.crc32(np.array(v[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for v in ids[r.doc_id])
+    for held in places.values():
+        end = 0
+        for offset, length in sorted(held):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert sum(r.length for r in rows) == sum(len(v) for vs in ids.values() for v in vs)
+    long = sorted((r.piece, r.start, r.length) for r in rows if r.doc_id == 100)
+    assert all(n == 2048 for _, _, n in long[1:]) and [s for _, s, _ in long] == np.cumsum([0, *(n for _, _, n in long[:-1])]).tolist()
+    assert packing.pack_documents(none(spark), path).collect() == []
+
+
+# ---- 8 ------------------------------------------------------------------------------------------------------------------
+
+
+def base(t):
+    out = []
+    for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, t or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
+            if {"email": True, "ip": all(int(x) < 256 for x in m[0].split(".")) if kind == "ip" else 0, "card": 13 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_base_spans_equal_those_of_plain_patterns(spark):
+    r = random.Random(6)
+    pieces = ["a.b@c.de", "@x.y", "1.2.3.4", "256.1.1.1", ".5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (743) 555-3824", "+12", "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", " ", "é", "\U0001f600", "9" * 40, "x-y", "_", "%", "-", "\u0001", "00012.0.0.1"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 14))) for _ in range(400)] + [t for _, t, _ in ODD] + ["7" * 30_000 + "a" * 30_000 + "@"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in pii.find(df).collect():
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in row.base] == base(texts[row.doc_id]), texts[row.doc_id]
+
+
+def test_disclosing_terms_are_found_and_removed(spark):
+    texts = [f"filler{i} call Quentrix at q@secret.example now filler{i % 7}" for i in range(5)] + [f"we call others at noon now {i}" for i in range(40)] + ["clean words only"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    terms = {r.doc_id: [t.value for t in r.terms] for r in pii.find(df).collect()}
+    assert all(terms[i] == ["quentrix"] for i in range(5)) and not any(terms[i] for i in range(5, 46))
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[0] == "filler0 call  at [EMAIL] now filler0" and clean[45] == "clean words only"
+
+
+def test_sanitised_odd_rows(spark):
+    rows = pii.sanitise(odd(spark))
+    assert rows.columns == odd(spark).columns and rows.count() == len(ODD) and pii.sanitise(none(spark)).collect() == []
+    by = {r.doc_id: r.text for r in rows.collect()}
+    assert by[1] is None and "[PHONE]" in by[3] and by[7] == "a\u0001[EMAIL] \U0001f600 [EMAIL]"
+
+
+# ---- 9 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_replies_follow_quotations(spark):
+    rows = [(1, 0, "u", "Hello there, how are you?\n\nSecond."), (1, 1, "a", "Fine."), (1, 2, "u", "On Monday bob wrote:\n> Hello there, how are you?\nI reply to the first"), (1, 3, "a", "goes on"),
+            (1, 4, "u", "> > Hello there, HOW are you\n> I reply to the first\n\nnested"), (1, 5, "x", "> nobody wrote this\nok"), (2, 7, None, None), (2, 3000, "u", "late"), (None, 1, "u", "x"), (3, 1, "a", "> own\n"), (3, 1, "a", "own")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn, r.text): r for r in quotes.reply_order(df).collect()}
+    assert len(got) == len(rows)
+    first = sorted((r.reply_path, r.turn, r.parent_turn, r.text) for r in got.values() if r.conv_id == 1)
+    assert [(t, p) for _, t, p, _ in first] == [(0, None), (2, 0), (4, 2), (5, 4), (3, 2), (1, 0)]
+    assert got[1, 4, "nested"].quote_depth == 2 and got[1, 4, "nested"].n_linked == 2 and got[1, 2, "I reply to the first"].n_quotes == 1
+    assert got[2, 3000, "late"].parent_turn == 7 and got[None, 1, "x"].reply_path is None
+    assert quotes.reply_order(df.limit(0)).collect() == []
+
+
+def test_long_conversations_are_split_over_buckets(spark):
+    df = spark.range(5000).select(F.lit(1).alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("m"), "id").alias("text"))
+    rows = quotes.reply_order(df).collect()
+    assert all(r.parent_turn == (r.turn - 3 if r.turn else None) for r in rows)
+
+
+# ---- 10 -----------------------------------------------------------------------------------------------------------------
+
+
+def test_records_come_back(spark):
+    big = "é" * 600
+    rows = [(1, "http://a", big), (2, None, big), (3, "http://b\r\nX: y", "small"), (4, "u", "small"), (5, "u", None), (None, "u", ""), (6, "u", big + "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc.write_archive(df)
+    assert archive.payloads.count() == 4
+    got = {r.record_id: r for r in warc.read_archive(archive).collect()}
+    assert (got[1].record_type, got[1].refers_to, got[2].record_type, got[2].refers_to, got[3].record_type) == ("revisit", 2, "response", None, "response")
+    assert all(bytes(got[i].payload).decode() == (h or "") for i, _, h in rows)
+    assert bytes(got[6].record).endswith(b"\r\n\r\n" + (big + "x").encode() + b"\r\n\r\n") and b"\r\nX: y" not in bytes(got[3].record)
+    assert warc.read_archive(warc.write_archive(df.limit(0))).collect() == []

@@ -22,6 +22,11 @@ def jvm(pattern: str, flags: str = "imdu") -> str:
     return (f"(?{flags})" if flags else "") + pattern
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"^{S}+", ""), rf"{S}+\z", "")
 
@@ -36,12 +41,15 @@ def letters(c: Column) -> Column:
 
 def clean_line(c: Column) -> Column:
     """The line without markup and spacing faults; null where it is noise. Takes NFKC text."""
-    t = strip(F.regexp_replace(strip(c), "</?[a-zA-Z][^>]{0,30}>", ""))
-    n = F.length(t)
-    noise = (n == 0) | ((n <= 2) & (letters(t) < n)) | ((n > 4) & (letters(t) / n < 0.25))
-    tidy = F.regexp_replace(t, r"([^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}])\1{2,}", "$1$1")
-    tidy = F.regexp_replace(F.regexp_replace(tidy, f"{S}+([,.:;!?)])", "$1"), rf"(\(){S}+", "$1")
-    return F.when(~noise, F.regexp_replace(tidy, " {2,}", " "))
+
+    def kept(t: Column) -> Column:
+        n, alpha = F.length(t), letters(t)
+        noise = (n == 0) | ((n <= 2) & (alpha < n)) | ((n > 4) & (alpha / n < 0.25))
+        tidy = F.regexp_replace(t, r"([^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}])\1{2,}", "$1$1")
+        tidy = F.regexp_replace(F.regexp_replace(tidy, f"{S}+([,.:;!?)])", "$1"), rf"(\(){S}+", "$1")
+        return F.when(~noise, F.regexp_replace(tidy, " {2,}", " "))
+
+    return let(strip(F.regexp_replace(strip(c), "</?[a-zA-Z][^>]{0,30}>", "")), kept)
 
 
 def clean_text(c: Column) -> Column:
@@ -60,7 +68,11 @@ def reliable(c: Column) -> Column:
 
 
 def normal_value(key: Column, value: Column) -> Column:
-    v = collapse(F.regexp_replace(F.regexp_replace(strip(value), "^[.,;:]+", ""), r"[.,;:]+\z", ""))
+    plain = collapse(F.regexp_replace(F.regexp_replace(strip(value), "^[.,;:]+", ""), r"[.,;:]+\z", ""))
+    return let(plain, lambda v: _normal_value(key, v))
+
+
+def _normal_value(key: Column, v: Column) -> Column:
     first = F.lower(F.left(strip(v), F.lit(1)))
     name = F.when(v.rlike(r"^[A-Za-z.\-' ]+\z"), F.initcap(F.trim(v))).otherwise(v)
     gender = F.when(first == "m", "Male").when(first == "f", "Female").otherwise(v)
@@ -81,12 +93,18 @@ def dedup_value(c: Column) -> Column:
 
 
 def label_like(c: Column) -> Column:
-    t = strip(c)
+    return let(strip(c), _label_like)
+
+
+def _label_like(t: Column) -> Column:
     return F.length(t).between(2, 60) & ~t.rlike(rf"^(?:{S}|[\p{{Nd}}\-/.,:])+\z") & ~F.lower(t).isin(dims.STOP_LABELS) & (F.size(F.split(t, f"{S}+")) <= 8)
 
 
 def value_like(c: Column) -> Column:
-    t = strip(c)
+    return let(strip(c), _value_like)
+
+
+def _value_like(t: Column) -> Column:
     return ~t.endswith(":") & ~t.endswith(":-") & (F.length(F.regexp_replace(t, rf"(?:{S}|[\-.:_;,])+", "")) >= 2)
 
 

@@ -134,14 +134,14 @@ def _usable(col: str, dim: int):
     return F.coalesce((F.size(col) == dim) & fine & F.exists(col, lambda v: v != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, sample_rows: int = 16_384, lists: int | None = None, probe: float = 0.5, rerank: int = 200, shard_rows: int = 16_384) -> DataFrame:
+def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, sample_rows: int = 16_384, lists: int | None = None, probe: float = 0.5, rerank: int = 400, shard_rows: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that the condition queries selects, its k nearest among all others.
 
     Vectors that are null, zero, hold a null or non-finite component, or have not the commonest dimension take no part.
     Fewer candidates than k give fewer rows; equal scores rank by smaller id. Of rows that repeat an id with the same
     vector one takes part; with different vectors each does, but none is a candidate of its own id. The fit uses at
     most sample_rows rows, those with the smallest hashes; the index holds every row. A query visits the shards of the
-    nearest share probe of all lists and reranks rerank rows in each.
+    nearest share probe of all lists and reranks the rows of rerank codes in each.
     """
     spark = vectors.sparkSession
     v = F.transform(vector_col, lambda x: x.cast("double")).alias("v")
@@ -217,13 +217,20 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
         if len(base) and len(asked):
             base = base.sort_values("id", kind="stable")
             ids, x = base["id"].to_numpy(), np.stack(base["v"].to_numpy())
-            packed = np.ascontiguousarray(np.frombuffer(b"".join(base["code"]), np.uint8).reshape(len(ids), -1).T)
+            # equal codes are scanned once, and all their rows reranked: copies and near copies that no code tells
+            # apart neither push out others nor each other; rerank counts codes, and a shard bounds the rows
+            codes = np.ascontiguousarray(np.frombuffer(b"".join(base["code"]), np.uint8).reshape(len(ids), -1))
+            _, one, of = np.unique(codes.view(f"V{codes.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            by, n = np.argsort(of, kind="stable"), np.bincount(of)
+            start = np.cumsum(n) - n
+            packed = np.ascontiguousarray(codes[one].T)
             for q, v in zip(asked["id"].to_numpy(), asked["v"].to_numpy()):
-                at = _best(scan(index, packed, v), rerank + 1)
-                at = at[ids[at] != q]
-                exact = (x[at] * v).sum(axis=1)  # row by row, so that equal vectors have equal scores
-                top = np.lexsort((ids[at], -exact))[:k]
-                found.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][top], "score": exact[top]}))
+                at = _best(scan(index, packed, v), rerank)
+                rows = by[np.repeat(start[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(n[at].sum())]
+                rows = rows[ids[rows] != q]
+                exact = (x[rows] * v).sum(axis=1)  # row by row, so that equal vectors have equal scores
+                top = np.lexsort((ids[rows], -exact))[:k]
+                found.append(pd.DataFrame({"query_id": q, "vec_id": ids[rows][top], "score": exact[top]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
     near = asked.groupBy("shard").cogroup(base.groupBy("shard")).applyInPandas(lambda a, b: answer(b, a), "query_id long, vec_id long, score double")

@@ -10,8 +10,12 @@ source, numbered in permuted order, are dealt to shards as consecutive ranges, s
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, BLOCKS_LEAST = 1024, 256
 #: The tree holds less than 2**29 draws: beyond, blocks get larger.
 BLOCKS_MOST = 1 << 28
+#: Shards times sources in the table that is broadcast, 8 bytes each: beyond, shards get larger.
+RANGES_MOST = 1 << 21
 #: Documents of a source that are put in order at once.
 ORDERED = 4096
 
@@ -66,8 +72,15 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
 
 
-def plan(rows: DataFrame, shard_words: int, seed: int, **shares) -> DataFrame:
-    """To rows (id, source, size) each one's place on its source's line, and its source's quota and ranges.
+def range_ends(quotas: list[int], shards: int, seed: int) -> np.ndarray:
+    """The ends of the shards' ranges of draws, source by source, when all sources' draws are numbered in one sequence."""
+    ends = split_quotas(quotas, shards, seed).cumsum(axis=0).T
+    return (ends + (np.cumsum(quotas) - quotas)[:, None]).ravel()
+
+
+def plan(rows: DataFrame, shard_words: int, seed: int, **shares) -> tuple[DataFrame, np.ndarray, int]:
+    """To rows (id, source, size) each one's place on its source's line, with its source's quota and first draw; the
+    ends of the shards' ranges (see range_ends); and how many shards there are.
 
     The driver holds one row per source (not per document): its size, target, quota and ranges per shard.
     """
@@ -86,10 +99,10 @@ def plan(rows: DataFrame, shard_words: int, seed: int, **shares) -> DataFrame:
         while math.gcd(step, max(blocks, 1)) != 1:
             step += 1
         info.append((s, sizes[s], float(wanted[s]), block, blocks, quota, step, -(-found[s]["docs"] // ORDERED)))
-    shards = max(1, round(sum(x[2] for x in info) / shard_words))
-    ranges = split_quotas([x[5] for x in info], shards, seed).cumsum(axis=0) if info else np.zeros((1, 0), np.int64)
-    kinds = "source string, source_size long, target double, block long, blocks long, quota long, step long, buckets long, ends array<long>"
-    catalogue = spark.createDataFrame([(*x, ranges[:, i].tolist()) for i, x in enumerate(info)], kinds)
+    quotas = [x[5] for x in info]
+    shards = max(1, min(round(sum(x[2] for x in info) / shard_words), RANGES_MOST // max(1, len(info))))
+    kinds = "source string, source_size long, target double, block long, blocks long, quota long, step long, buckets long, nth int, first long"
+    catalogue = spark.createDataFrame([(*x, i, a) for i, (x, a) in enumerate(zip(info, accumulate(quotas, initial=0)))], kinds)
     # two levels of prefix sums give each document its place: buckets of a source by hash, then documents of a bucket
     known = rows.withColumnRenamed("source", "s").join(catalogue, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     unit = F.shiftrightunsigned(F.col("u"), 33)
@@ -100,26 +113,30 @@ def plan(rows: DataFrame, shard_words: int, seed: int, **shares) -> DataFrame:
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("base"))
     inside = F.sum("size").over(Window.partitionBy(*of).orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, -1))
     placed = known.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return placed.withColumn("at", F.col("base") + F.col("inside")).drop("s", "b", "base", "inside", "buckets", "bucket")
+    placed = placed.withColumn("at", F.col("base") + F.col("inside")).drop("s", "b", "base", "inside", "buckets", "bucket")
+    return placed, range_ends(quotas, shards, seed) if info else np.empty(0, np.int64), shards
+
+
+_DRAWS = "array<struct<from:bigint,words:bigint,pass:bigint,shard:bigint>>"
 
 
 def _draws(passes: Column, part: Column) -> Column:
-    """Structs (from, words, number, shard) of a document's draws: word ranges, by block and pass."""
+    """Structs (from, words, pass, shard) of a document's draws: word ranges, by block and pass. For shard they hold the
+    draw's number among the draws of all sources."""
     first, last = F.expr("at div block"), F.expr("(at + size - 1) div block")
     number = lambda k: F.pmod(k * F.col("step"), F.col("blocks"))  # noqa: E731  the block's place in the permuted order
 
     def piece(k: Column, nth: Column) -> Column:
         start = F.greatest(k * F.col("block"), F.col("at"))
         stop = F.least((k + 1) * F.col("block"), F.col("at") + F.col("size"))
-        index = nth * F.col("blocks") + number(k)
-        shard = F.size(F.filter("ends", lambda e: e <= index))
-        return F.struct((start - F.col("at")).alias("from"), (stop - start).alias("words"), nth.alias("pass"), shard.alias("shard"))
+        index = F.col("first") + nth * F.col("blocks") + number(k)
+        return F.struct((start - F.col("at")).alias("from"), (stop - start).alias("words"), nth.alias("pass"), index.alias("shard"))
 
     ks = F.sequence(first, last)
     whole = F.flatten(F.transform(F.sequence(F.lit(1), passes), lambda nth: F.transform(ks, lambda k: piece(k, (nth - 1).cast("long")))))
     more = F.transform(F.filter(ks, lambda k: number(k) < part), lambda k: piece(k, passes.cast("long")))
     empty = F.filter(more, lambda _: F.lit(False))
-    return F.when(F.col("size") > 0, F.concat(F.when(passes > 0, whole).otherwise(empty), more)).otherwise(F.array().cast("array<struct<from:bigint,words:bigint,pass:bigint,shard:int>>"))
+    return F.when(F.col("size") > 0, F.concat(F.when(passes > 0, whole).otherwise(empty), more)).otherwise(F.array().cast(_DRAWS))
 
 
 def mix_quotas(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = 1_000_000, seed: int = 17, **shares) -> DataFrame:
@@ -133,10 +150,33 @@ def mix_quotas(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _quotas(rows: DataFrame, shard_words: int, seed: int, **shares) -> DataFrame:
+    spark = rows.sparkSession
     passes, part = F.expr("cast(if(blocks = 0, 0, quota div blocks) as int)"), F.expr("if(blocks = 0, 0, quota % blocks)")
-    drawn = plan(rows, shard_words, seed, **shares).withColumn("draws", _draws(passes, part))
+    placed, ends, shards = plan(rows, shard_words, seed, **shares)
+    drawn = placed.withColumn("draws", _draws(passes, part))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return drawn.select("id", "size", "source_size", "target", taken.alias("taken"), "draws")
+    drawn = drawn.select("id", "size", "source_size", "target", taken.alias("taken"), "draws", "nth")
+    kind = drawn.schema["id"].dataType.simpleString()
+    found = drawn.mapInArrow(_to_shards(spark.sparkContext.broadcast(ends), shards), f"id {kind}, size long, source_size long, target double, taken long, draws {_DRAWS}")
+    return found.withColumn("draws", F.col("draws").cast(_DRAWS.replace("shard:bigint", "shard:int")))
+
+
+def _to_shards(ends, shards: int):
+    """In draws, the shard whose range holds a draw in place of the draw's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            draws = batch.column("draws")
+            each = draws.flatten()
+            parts = dict(zip((f.name for f in each.type), each.flatten()))
+            n = pc.list_value_length(draws).to_numpy()
+            number = parts["shard"].to_numpy()
+            parts["shard"] = pa.array(np.searchsorted(ends.value, number, "right") - np.repeat(batch.column("nth").to_numpy().astype(np.int64), n) * shards, pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.StructArray.from_arrays(list(parts.values()), list(parts)))
+            names = ["id", "size", "source_size", "target", "taken"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], [*names, "draws"])
+
+    return run
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = 1_000_000, seed: int = 17, **shares) -> DataFrame:

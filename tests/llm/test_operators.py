@@ -210,6 +210,15 @@ def test_tree_keeps_quotas_and_balances_shards():
     assert out.sum(axis=0).tolist() == q and out.sum(axis=1).max() - out.sum(axis=1).min() <= 4
 
 
+def test_draws_fall_in_their_shards_ranges():
+    q, shards = [1000, 0, 1, 523], 7
+    ends, tree, first = mixing.range_ends(q, shards, 3), mixing.split_quotas(q, shards, 3), 0
+    for i, n in enumerate(q):
+        shard = np.searchsorted(ends, first + np.arange(n), "right") - i * shards
+        assert np.bincount(shard, minlength=shards).tolist() == tree[:, i].tolist() and (np.diff(shard) >= 0).all()
+        first += n
+
+
 def test_mixture_meets_targets(spark):
     r = random.Random(5)
     rows = [(i, "w " * r.randint(0, 400), r.choice(["s1", "s2", "s3", None]) if i % 3 else "s1") for i in range(3000)]

@@ -335,10 +335,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # equal sets are one class, led by its smallest id
     classes = sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     routed = sets.where("n > 0 and id is not null").select("id", F.explode("keys").alias("key"))
-    # the smallest id with a key leads its block; a running first needs no buffer for hot keys
+    # the smallest id with a key leads its block. Keys that the sketches call frequent may hold any share of all rows:
+    # their least ids are found by an aggregation that combines before the shuffle; one sort serves the others
+    frequent = F.shiftrightunsigned("key", 60) > 0
     first = F.first("id").over(Window.partitionBy("key").orderBy("id"))
-    pairs = routed.select("id", first.alias("lead")).where("id <> lead").distinct()
-    member = pairs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    cold = routed.where(~frequent).select("id", first.alias("lead"))
+    reps = classes.select(F.col("rep").alias("id"))
+    hot = routed.where(frequent).join(reps, "id", "left_semi")
+    hot = hot.join(hot.groupBy("key").agg(F.min("id").alias("lead")), "key").select("id", "lead")
+    member = cold.unionByName(hot).where("id <> lead").distinct().join(reps, "id", "left_semi")
     member = materialize(member, "members")
     member = member.unionByName(member.select(F.col("lead").alias("id"), "lead").distinct())
     signs = sets.where("n > 0 and id is not null").select("id", "digest", "n", "level", "map", "next").dropDuplicates(["id", "digest"]).drop("digest")

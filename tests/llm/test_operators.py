@@ -73,6 +73,23 @@ def test_components_equal_those_of_all_pairs(spark, k, num, rows):
     assert got == components(docs, k, num, 100)
 
 
+@pytest.mark.parametrize("rows", [4096, 50])
+def test_components_of_many_near_copies(spark, rows):
+    """Shingles that most documents hold are frequent to the sketches and take the other way to their blocks."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(120)]
+    docs = []
+    for i in range(400):
+        words = list(passage) if i % 4 else [f"q{i}x{j}" for j in range(30)] + passage[:40]
+        for _ in range(i % 3):
+            words[r.randrange(len(words))] = f"n{r.randrange(9)}"
+        docs.append((1000 - i, " ".join(words)))
+    docs += [(2000 + i, " ".join(passage)) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(df, block_rows=rows).collect()}
+    assert got == components(docs, 3, 90, 100)
+
+
 def test_signatures_never_rule_out_a_link():
     r = np.random.default_rng(4)
     for n in (30, 300, 900, 3000, 9000):

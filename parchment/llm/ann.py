@@ -134,14 +134,15 @@ def _usable(col: str, dim: int):
     return F.coalesce((F.size(col) == dim) & fine & F.exists(col, lambda v: v != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, sample_rows: int = 16_384, lists: int | None = None, probe: float = 0.5, rerank: int = 400, shard_rows: int = 16_384) -> DataFrame:
+def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, sample_rows: int = 16_384, lists: int | None = None, probe: float = 0.5, rerank: int = 400, shard_rows: int = 16_384, ask_rows: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that the condition queries selects, its k nearest among all others.
 
     Vectors that are null, zero, hold a null or non-finite component, or have not the commonest dimension take no part.
     Fewer candidates than k give fewer rows; equal scores rank by smaller id. Of rows that repeat an id with the same
     vector one takes part; with different vectors each does, but none is a candidate of its own id. The fit uses at
     most sample_rows rows, those with the smallest hashes; the index holds every row. A query visits the shards of the
-    nearest share probe of all lists and reranks the rows of rerank codes in each.
+    nearest share probe of all lists and reranks the rows of rerank codes in each. One task holds about shard_rows rows
+    and ask_rows queries at most: more queries go in as many blocks, each to its own copy of the shards.
     """
     spark = vectors.sparkSession
     v = F.transform(vector_col, lambda x: x.cast("double")).alias("v")
@@ -191,6 +192,8 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
     routed = spark.sparkContext.broadcast(index)
     table = F.create_map(*[F.lit(x) for c, (a, p) in shard_of.items() for x in (c, a)])
     splits = F.create_map(*[F.lit(x) for c, (a, p) in shard_of.items() for x in (c, p)])
+    # hashing deals queries evenly, a shard gets those of a block that visit it
+    blocks = -(-placed.where("asks").count() // ask_rows)
     base = placed.withColumn("shard", table[F.col("list")] + F.pmod(F.xxhash64("id"), splits[F.col("list")]).cast("int")).select("shard", "id", "code", "v")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +236,11 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
                 found.append(pd.DataFrame({"query_id": q, "vec_id": ids[rows][top], "score": exact[top]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
-    near = asked.groupBy("shard").cogroup(base.groupBy("shard")).applyInPandas(lambda a, b: answer(b, a), "query_id long, vec_id long, score double")
+    if blocks > 1:
+        asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(blocks)).cast("int"))
+        base = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    by = ["shard", "block"] if blocks > 1 else ["shard"]
+    near = asked.groupBy(*by).cogroup(base.groupBy(*by)).applyInPandas(lambda a, b: answer(b, a), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -137,6 +137,13 @@ def test_search_finds_nine_in_ten_and_ranks_exactly(spark):
     assert hit >= 0.9 * 20 * len(got)
 
 
+def test_blocks_of_queries_change_nothing(spark):
+    x = np.random.default_rng(6).standard_normal((600, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    one, many = (sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0, shard_rows=200, ask_rows=n).collect())) for n in (16_384, 7))
+    assert one == many and len(one) == 600
+
+
 def test_search_leaves_out_what_is_no_vector(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (None, [1.0, 1.0]), (20, [0.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

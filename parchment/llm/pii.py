@@ -91,10 +91,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     both = materialize(both, "pii-pairs")
     df = document_frequency(docs, text_col, both.select("term").distinct())
     holders = rows.select("id", "digest", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("value")).groupBy("value").agg(F.countDistinct("id", "digest").alias("n"))
-    total = rows.agg(F.countDistinct("id", "digest").alias("total"))
-    n, c, t, ct = F.greatest(F.col("total"), F.lit(2)).cast("double"), F.col("n"), F.greatest("df", "rows"), F.col("rows")
+    total = rows.agg(F.countDistinct("id", "digest")).first()[0]
+    n, c, t, ct = F.lit(float(max(total, 2))), F.col("n"), F.greatest("df", "rows"), F.col("rows")
     disclosure = F.when(c >= n, F.lit(0.0)).otherwise(F.log2(n * ct / (c * t)) / F.log2(n / c))
-    telling = both.join(df, "term").join(holders, "value").crossJoin(F.broadcast(total)).select("value", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
+    telling = both.join(df, "term").join(holders, "value").select("value", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
     terms = pairs.join(telling, ["value", "term"]).groupBy("id", "digest", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
     inside = F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"), (F.col("disclosure") >= remove_at).alias("removed"))
     terms = terms.groupBy("id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", inside.alias("span")))).alias("terms"))

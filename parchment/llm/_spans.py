@@ -18,12 +18,32 @@ def found(text: Column, pattern: str, maybe: Column) -> Column:
     maybe: a cheap condition without which there is no match. regexp_replace marks each match; the pieces between the
     marks give the offsets.
     """
+    spans = _located(_pieces(text, pattern))
+    return F.when(F.coalesce(maybe, F.lit(False)), spans).otherwise(F.array().cast(_SPANS))
+
+
+def found_among(text: Column, pattern: str, values: Column) -> Column:
+    """The matches of found() that, in lower case, are in values. Only those are collected, so long texts with few of
+    them take time linear in the text."""
+    few = lambda pieces: F.array_join(F.transform(pieces, lambda p, i: F.when((i % 2 == 1) & F.array_contains(values, F.lower(p)), F.concat(F.lit(_OPEN), p, F.lit(_CLOSE))).otherwise(p)), "")
+    return _located(F.split(few(_pieces(text, pattern)), f"[{_OPEN}{_CLOSE}]", -1))
+
+
+_SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """text, match, text, match, ..., text"""
     marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, _NEITHER * 2), F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}"))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,value:string>>>"
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
+
+
+def _located(pieces: Column) -> Column:
+    kind = f"struct<at:int,out:{_SPANS}>"
+    none = F.array().cast(_SPANS)
     first = F.struct(F.lit(0).alias("at"), none.alias("out")).cast(kind)
 
-    def located(pieces: Column) -> Column:  # text, match, text, match, ..., text
+    def located(pieces: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
             value = F.element_at(pieces, i)
             stop = state["at"] + F.length(value)
@@ -32,9 +52,8 @@ def found(text: Column, pattern: str, maybe: Column) -> Column:
 
         return F.when(F.size(pieces) > 1, F.aggregate(F.sequence(F.lit(1), F.size(pieces)), first, step, lambda s: s["out"])).otherwise(none)
 
-    # bound as a lambda's variable, the replacement is computed once
-    spans = F.transform(F.array(F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)), located)[0]
-    return F.when(F.coalesce(maybe, F.lit(False)), spans).otherwise(none)
+    # bound as a lambda's variable, the pieces are computed once
+    return F.transform(F.array(pieces), located)[0]
 
 
 def around(text: Column, start: Column, end: Column, chars: int) -> tuple[Column, Column]:

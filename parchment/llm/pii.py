@@ -2,8 +2,8 @@
 
 A term t near a protected value c discloses it as far as pointwise mutual information comes up to the information of
 c itself: PMI(c; t) / IC(c), which is 1 where t occurs with c only (Sanchez and Batet, 2016). Counts are over all
-documents. Terms that disclose enough, seen with the value in enough different texts, are spans too: those at the
-upper threshold are removed, the others generalised. All of it is DataFrame operations.
+documents. Terms that disclose enough, seen with the value in enough different texts, are spans too, wherever they occur
+in any document: those at the upper threshold are removed, the others generalised. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize
-from ._spans import TERM, around, document_frequency, found
+from ._spans import BROADCAST_TERMS, TERM, around, document_frequency, found, found_among
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns. Possessive, and started only where a run of their characters starts or a match ended: the matches are
@@ -23,6 +23,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Rows with a disclosing term that are broadcast; with more, the texts are joined by a shuffle.
+BROADCAST_ROWS = 1 << 16
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
@@ -62,11 +64,46 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _masked(text: Column, base: Column) -> Column:
+    """text with the characters of its base spans as spaces, so that places stay."""
+    state = "struct<at:int,out:array<string>>"
+
+    def step(a: Column, s: Column) -> Column:
+        kept = F.substr(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(a["at"], s["start"])))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(kept, blank)).alias("out")).cast(state)
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
+    spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    blanked = F.aggregate(spans, first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, blanked).otherwise(text)
+
+
+def _everywhere(own: DataFrame, rows: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, digest, start, end, term, disclosure) of every occurrence of known (term, disclosure) in own (id, text),
+    outside the base spans of rows. pairs: the words near values, which may be parts of what is one word with the value.
+    """
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)), F.lower))
+    # the digest is computed ahead of the explosion, once per text
+    held = own.select("id", F.sha2("text", 256).alias("digest"), words.alias("words")).select("id", "digest", F.explode("words").alias("term")).unionByName(pairs.select("id", "digest", "term"))
+    small = known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    held = held.join(F.broadcast(known) if small else known, "term").groupBy("id", "digest").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("held"))
+    held = materialize(held, "pii-held")
+    held = held.alias("h").join(rows.alias("r"), F.col("h.id").eqNullSafe(F.col("r.id")) & (F.col("h.digest") == F.col("r.digest")), "inner").select("h.id", "h.digest", "held", "base").dropDuplicates(["id", "digest"])
+    held = held.select(F.col("id").alias("i"), F.col("digest").alias("d"), "held", "base")
+    few = held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = own.join(F.broadcast(held) if few else held, F.col("id").eqNullSafe(F.col("i")) & (F.sha2("text", 256) == F.col("d")))
+    spans = texts.select("id", F.col("d").alias("digest"), "held", F.explode(found_among(_masked(F.col("text"), F.col("base")), TERM, F.map_keys("held"))).alias("s"))
+    spans = spans.select("id", "digest", "held", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lower("s.value").alias("term"))
+    return spans.select("id", "digest", "start", "end", "term", F.col("held")[F.col("term")].alias("disclosure"))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 120, words: int = 8, support: int = 2, generalise_at: float = 0.9, remove_at: float = 1.0) -> DataFrame:
     """Per row: id_col, digest (of the text), base and terms: arrays of spans. terms also have disclosure.
 
     The context of a value is the nearest words terms within window characters on either side. support: different
-    texts that must show a term with the value; copies of one text count once there. Null texts are empty. Rows that
+    texts that must show a term with the value; copies of one text count once there. What is learned there holds for
+    all texts: a telling term is a span at each of its occurrences outside base spans. Null texts are empty. Rows that
     repeat an id are looked at each on its own; rows equal in id and text get equal spans. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -95,7 +132,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     n, c, t, ct = F.lit(float(max(total, 2))), F.col("n"), F.greatest("df", "rows"), F.col("rows")
     disclosure = F.when(c >= n, F.lit(0.0)).otherwise(F.log2(n * ct / (c * t)) / F.log2(n / c))
     telling = both.join(df, "term").join(holders, "value").select("value", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
-    terms = pairs.join(telling, ["value", "term"]).groupBy("id", "digest", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
+    telling = materialize(telling, "pii-telling")
+    beside = pairs.join(telling, ["value", "term"]).select("id", "digest", "start", "end", "term", "disclosure")
+    known = telling.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    terms = beside if known.isEmpty() else beside.unionByName(_everywhere(own, rows, pairs, known))
+    terms = terms.groupBy("id", "digest", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
     inside = F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"), (F.col("disclosure") >= remove_at).alias("removed"))
     terms = terms.groupBy("id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", inside.alias("span")))).alias("terms"))
     terms = terms.select(F.col("id").alias("i"), F.col("digest").alias("d"), F.col("terms.span").alias("terms"))

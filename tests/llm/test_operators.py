@@ -367,6 +367,20 @@ def test_disclosing_terms_are_found_and_removed(spark):
     assert clean[0] == "filler0 call  at [EMAIL] now filler0" and clean[45] == "clean words only"
 
 
+def test_disclosing_terms_are_removed_wherever_they_occur(spark):
+    far = " ".join(f"pad{j}" for j in range(40))
+    texts = [f"call Quentrix at q@secret.example {far} then QUENTRIX said {i} quentrix@other{i}.example" for i in range(12)] + [f"\U0001f600 {far} only Quentrix here"] + [f"others {i} at noon" for i in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find(df).collect()}
+    for i in range(13):
+        spans = [(s.start, s.end) for s in rows[i].terms if s.value == "quentrix"]
+        inside = [(s.start, s.end) for s in rows[i].base]
+        want = [m.span() for m in re.finditer(r"(?i)\bquentrix\b", texts[i]) if not any(a <= m.start() < b for a, b in inside)]
+        assert spans == want and len(want) == (2 if i < 12 else 1)
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any("quentrix" in clean[i].lower() for i in range(13)) and clean[0].endswith("[EMAIL]") and clean[13] == texts[13]
+
+
 def test_sanitised_odd_rows(spark):
     rows = pii.sanitise(odd(spark))
     assert rows.columns == odd(spark).columns and rows.count() == len(ODD) and pii.sanitise(none(spark)).collect() == []

@@ -129,7 +129,7 @@ def block_partners(left: list[tuple], right: list[tuple] | None, num: int, den:
     Signatures of large sets hold a sample of their elements; what is not in the sample is slack. The sizes of documents that link are so near that their levels differ by one at most.
     """
     out: set[int] = set()
-    for level in sorted({d[2] for d in left}):
+    for level in sorted({d[2] for d in left + (right or [])}):
         trees = []
         for side in (left, right if right is not None else []):
             own = [(d[0], d[1], d[3] if d[2] == level else d[4]) for d in side if d[2] in (level, level - 1)]

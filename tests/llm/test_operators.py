@@ -100,6 +100,14 @@ def test_signatures_never_rule_out_a_link():
         assert ngram_join.block_partners(rows, None, 90, 100) == {0, 1}
 
 
+@pytest.mark.parametrize("edge", [256, 512, 1024])
+def test_signatures_link_across_levels_and_sides(edge):
+    x = np.unique(np.random.default_rng(edge).integers(0, 2**63, edge + 1, dtype=np.uint64))
+    small, large = ((i, len(s), *ngram_join.signature(s)) for i, s in enumerate((x[:-1], x)))
+    assert large[2] == small[2] + 1
+    assert ngram_join.block_partners([small], [large], 90, 100) == {0, 1} == ngram_join.block_partners([large], [small], 90, 100)
+
+
 def test_components_of_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_documents(odd(spark)).collect()), key=str)
     assert (1, 0, 1) in got and (2, 0, 2) in got and (6, 0, 6) in got and (None, 1, None) in got

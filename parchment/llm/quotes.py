@@ -1,7 +1,8 @@
 """Conversations in reply order, from quotations: passages under ``>`` marks are linked to the messages they quote.
 
 Each line's quote level is its number of leading marks. Lines of one level in a row make a passage; its text, folded,
-is hashed and joined to the passages that earlier messages of the conversation wrote themselves. A message replies to
+is hashed and joined to what earlier messages of the conversation wrote themselves: whole texts, and runs of whole lines
+or whole paragraphs, of as many as the conversation's quotations have. A message replies to
 the message of its first outermost quotation that is found, and else continues the one before it. All of it is
 DataFrame operations.
 """
@@ -17,6 +18,7 @@ from ._common import materialize
 #: Turns whose neighbours one task looks up at a time: a conversation of any length is dealt to many tasks.
 BUCKET = 1024
 _MARKS = r"^((?:[ \t]{0,3}>)+)[ \t]?"
+_LINE, _PARAGRAPH = "\n", r"\n[ \t]*\n"
 _ATTRIBUTION = r"(?i)^\s*(on\s.{0,120}\swrote|.{0,80}\s(wrote|said|writes))\s*:\s*$"
 
 
@@ -44,6 +46,18 @@ def folded(body: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(body), r"[^\p{L}\p{N}]+", " "))
 
 
+def _units(body: Column, end: str) -> Column:
+    """The folded lines or paragraphs of a text that hold letters or digits."""
+    return F.filter(F.transform(F.split(body, end), folded), lambda x: x != "")
+
+
+def _runs(units: Column, lengths: Column) -> Column:
+    """Hashes of all runs of consecutive units that have one of the lengths."""
+    run = lambda us, n: F.transform(F.sequence(F.lit(1), F.size(us) - n + 1), lambda i: F.sha2(F.array_join(F.slice(us, i, n), " "), 256))
+    # bound as a lambda's variable, the units are computed once
+    return F.flatten(F.transform(F.array(units), lambda us: F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.size(us)), lambda n: run(us, n)))))
+
+
 def reply_order(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Per turn: conv, turn, role, quote_depth (deepest level), n_quotes (quoted passages), n_linked (those found),
     parent_turn, reply_path and text without quotations.
@@ -51,7 +65,7 @@ def reply_order(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     parent_turn: the first message of the conversation that wrote what the turn quotes first at level 1, or else the
     turn before; null for the first. Sorted by (conv, reply_path), a conversation reads in reply order: each message
     stands behind what it answers, ahead of what answers it. A quotation that nobody wrote, or only the turn itself or
-    a later one, links nothing. Null texts are empty, null roles stay; rows whose conversation or turn is null come
+    a later one, links nothing; nor does a part of a line that is quoted without the rest of its line. Null texts are empty, null roles stay; rows whose conversation or turn is null come
     back with a null parent and path. Rows that repeat a turn are that turn's, each with its own quotations; the
     smallest parent counts for all. An empty table gives an empty result.
     """
@@ -65,15 +79,16 @@ def reply_order(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     quotes = F.filter("ps", lambda p: (p["level"] > 0) & (folded(p["body"]) != ""))
     rows = parsed.select(
         "conv", "turn", "role", clean.alias("clean"), F.array_max(F.transform("ps", lambda p: p["level"])).alias("depth"),
-        F.transform(quotes, lambda p: F.struct(p["level"].alias("level"), F.sha2(folded(p["body"]), 256).alias("hash"))).alias("quotes"),
+        F.transform(quotes, lambda p: F.struct(p["level"].alias("level"), F.sha2(folded(p["body"]), 256).alias("hash"), F.size(_units(p["body"], _LINE)).alias("lines"), F.size(_units(p["body"], _PARAGRAPH)).alias("paragraphs"))).alias("quotes"),
     )
     rows = materialize(rows, "turns")
     there = rows.where("conv is not null and turn is not null")
-    asked = there.where("size(quotes) > 0").select("conv", "turn", F.posexplode("quotes").alias("nth", "q")).select("conv", "turn", "nth", "q.level", "q.hash")
-    # what a message wrote can be quoted whole, by paragraph or by line; the first to write it is its author
-    paragraphs, lines = F.split("clean", r"\n[ \t]*\n"), F.split("clean", "\n")
-    written = there.join(asked.select("conv").distinct(), "conv", "left_semi").select("conv", "turn", F.explode(F.array_distinct(F.concat(F.array("clean"), paragraphs, lines))).alias("body"))
-    written = written.select("conv", "turn", F.sha2(folded(F.col("body")), 256).alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("author"))
+    asked = there.where("size(quotes) > 0").select("conv", "turn", F.posexplode("quotes").alias("nth", "q")).select("conv", "turn", "nth", "q.*")
+    # what a message wrote can be quoted whole, or by lines or paragraphs in a row; the first to write it is its author
+    lengths = asked.groupBy("conv").agg(F.collect_set("lines").alias("lines"), F.collect_set("paragraphs").alias("paragraphs"))
+    whole = F.array(F.sha2(folded(F.col("clean")), 256))
+    runs = F.concat(whole, _runs(_units(F.col("clean"), _PARAGRAPH), F.array_union("paragraphs", F.array(F.lit(1)))), _runs(_units(F.col("clean"), _LINE), F.array_union("lines", F.array(F.lit(1)))))
+    written = there.join(lengths, "conv").select("conv", "turn", F.explode(F.array_distinct(runs)).alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("author"))
     links = asked.join(written, ["conv", "hash"]).where("author < turn")
     answers = links.groupBy("conv", "turn").agg(F.countDistinct("nth").alias("n_linked"), F.min(F.when(F.col("level") == 1, F.struct("nth", "author"))).alias("outer"))
     answers = answers.select("conv", "turn", "n_linked", F.col("outer.author").alias("quoted"))

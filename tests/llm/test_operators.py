@@ -412,6 +412,14 @@ def test_replies_follow_quotations(spark):
     assert quotes.reply_order(df.limit(0)).collect() == []
 
 
+def test_trimmed_quotations_link(spark):
+    asked = "alpha one\nbeta two\ngamma three\ndelta four\n\nsecond paragraph\nof two lines\n\nlast one"
+    quoted = ["> beta two\n> gamma three", "> second paragraph\n> of two lines\n>\n> last one", "> alpha one\n> beta two gamma three\n> delta four\n>\n> second paragraph of\n> two lines", "> alpha one\n> gamma three", "> gamma"]
+    rows = [(1, 0, "u", asked), (1, 1, "a", "between")] + [(1, 2 + i, "u", q + f"\nanswer {i}") for i, q in enumerate(quoted)]
+    got = {r.turn: (r.n_linked, r.parent_turn) for r in quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[i] for i in range(2, 7)] == [(1, 0), (1, 0), (1, 0), (0, 4), (0, 5)]
+
+
 def test_long_conversations_are_split_over_buckets(spark):
     df = spark.range(5000).select(F.lit(1).alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("m"), "id").alias("text"))
     rows = quotes.reply_order(df).collect()

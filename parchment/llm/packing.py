@@ -126,43 +126,117 @@ def fillings(room: int, counts: np.ndarray, width: int) -> list[tuple[int, ...]]
     return sorted(done, key=lambda t: (done[t], len(t), tuple(-x for x in t)))[:width]
 
 
+def completions(room: int, counts: np.ndarray, width: int, steps: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Up to width of all fillings of room by pieces left to which no piece left can be added, least waste first, then
+    fewest and largest pieces; and whether these are all. Looks at steps choices at most. Fillings to which a piece
+    could be added are dominated, so a search over all of these finds the optimum."""
+    fits = np.flatnonzero(counts[: room + 1] > 0)[::-1].tolist()
+    if fits and fits[0] == room:
+        return [(room,)], True
+    found: dict[tuple, int] = {}
+    # (place in fits, pieces of that length and shorter may follow; room left; pieces; the shortest length left out)
+    stack, whole = [(0, room, (), room + 1)], True
+    while stack:
+        if not steps:
+            whole = False
+            break
+        steps -= 1
+        k, space, items, out = stack.pop()
+        while k < len(fits) and fits[k] > space:
+            k += 1
+        if k == len(fits):
+            if space < out:
+                found[items] = space
+            continue
+        x = fits[k]
+        most = min(int(counts[x]), space // x)
+        for q in range(most + 1):  # the last pushed, with most pieces, comes first
+            stack.append((k + 1, space - q * x, items + (x,) * q, out if q == counts[x] else min(out, x)))
+    best = sorted(found, key=lambda t: (found[t], len(t), tuple(-x for x in t)))
+    return best[:width] or [()], whole and len(best) <= width
+
+
 def bin_completion(counts: np.ndarray, width: int = 3, nodes: int = 20_000) -> Plan:
-    """Branch and bound over completions of the largest piece left. nodes bounds the search; its best so far is
-    returned, which is the optimum where it meets lower_bound()."""
-    cap, total = len(counts) - 1, int((counts * np.arange(len(counts))).sum())
+    """Branch and bound over completions of the largest piece left. Its best is returned, which is the optimum where it
+    meets lower_bound() or where the search came to its end.
+
+    At first width fillings that look best, with two departures from the first choice at most and each as often as the
+    counts allow, over nodes nodes. Where that leaves the bound unmet, over as many nodes again, all fillings with
+    smaller multiplicities too: each round doubles the fillings, the departures and the steps that list the fillings,
+    until none of them cuts a branch off.
+    """
+    total, least = int((counts * np.arange(len(counts))).sum()), lower_bound(counts)
     best = best_fit_decreasing(counts)
-    size = lambda plan: sum(n for _, n in plan)
-    least, visited = lower_bound(counts), 0
-    # depth first with few departures from the best filling first: (departures so far, steps taken, counts, plan, waste)
+    visited = 0
     for limit in range(3):
-        stack = [(0, counts.copy(), [], 0)]
-        while stack and size(best) > least and visited < nodes:
-            gone, left, plan, waste = stack.pop()
-            while visited < nodes:
-                visited += 1
-                # one sequence fewer than the incumbent leaves so much waste at most
-                if waste > (size(best) - 1) * cap - total:
-                    break
-                held = np.flatnonzero(left)
-                if not len(held):
-                    best = plan
-                    break
-                largest = int(held[-1])
-                left[largest] -= 1
-                options = fillings(cap - largest, left, width)
-                left[largest] += 1
-                for other in options[1:] if gone < limit else ():
-                    l2, p2, w2 = _apply(left, plan, waste, (largest, *other), cap)
-                    stack.append((gone + 1, l2, p2, w2))
-                left, plan, waste = _apply(left, plan, waste, (largest, *options[0]), cap)
-        if size(best) <= least or visited >= nodes:
+        best, visited, _ = _search(counts, best, least, total, limit, visited, nodes, lambda room, left: (fillings(room, left, width), False), False)
+        if _size(best) <= least or visited >= nodes:
+            break
+    visited, limit, steps = 0, 4, 64
+    while _size(best) > least and visited < nodes:
+        width, limit, steps = 2 * width, 2 * limit, 2 * steps
+        # a round has an eighth of the nodes at least, so that wide rounds get their turn
+        best, visited, whole = _search(counts, best, least, total, limit, visited, min(nodes, visited + max(nodes // 8, 1)), lambda room, left: completions(room, left, width, steps), True)  # noqa: B023
+        if whole:
             break
     return best
 
 
-def _apply(left: np.ndarray, plan: Plan, waste: int, items: tuple[int, ...], cap: int) -> tuple[np.ndarray, Plan, int]:
+def _size(plan: Plan) -> int:
+    return sum(n for _, n in plan)
+
+
+def _search(counts: np.ndarray, best: Plan, least: int, total: int, limit: int, visited: int, nodes: int, options_of, fewer: bool) -> tuple[Plan, int, bool]:
+    """Depth first with few departures from the best filling first. (best plan, nodes visited, whether nothing but
+    branches that cannot beat it was left out.) options_of(room, counts): fillings, and whether these are all. fewer:
+    fillings are also applied half as often, a quarter, ... and once."""
+    cap, whole = len(counts) - 1, True
+    stack = [(0, counts.copy(), [], 0)]  # (departures so far, counts, plan, waste)
+    while stack and _size(best) > least:
+        gone, left, plan, waste = stack.pop()
+        while True:
+            if visited >= nodes:
+                return best, visited, False
+            visited += 1
+            # one sequence fewer than the incumbent leaves so much waste at most
+            if waste > (_size(best) - 1) * cap - total:
+                break
+            held = np.flatnonzero(left)
+            if not len(held):
+                best = plan
+                break
+            largest = int(held[-1])
+            left[largest] -= 1
+            options, every = options_of(cap - largest, left)
+            left[largest] += 1
+            choices = [(largest, *other) for other in options]
+            whole &= every
+            steps = [(items, 0) for items in choices]
+            if fewer:
+                for items in choices:
+                    times = _times(left, items)
+                    while times > 1:
+                        times //= 2
+                        steps.append((items, times))
+            if gone < limit:
+                for items, times in steps[1:]:
+                    l2, p2, w2 = _apply(left, plan, waste, items, cap, times)
+                    stack.append((gone + 1, l2, p2, w2))
+            else:
+                whole &= len(steps) == 1
+            left, plan, waste = _apply(left, plan, waste, choices[0], cap)
+    return best, visited, whole
+
+
+def _times(left: np.ndarray, items: tuple[int, ...]) -> int:
+    kinds, need = np.unique(items, return_counts=True)
+    return int((left[kinds] // need).min())
+
+
+def _apply(left: np.ndarray, plan: Plan, waste: int, items: tuple[int, ...], cap: int, times: int = 0) -> tuple[np.ndarray, Plan, int]:
+    """items applied times times, or as often as the counts allow."""
     kinds, need = np.unique(items, return_counts=True)
-    times = int((left[kinds] // need).min())
+    times = times or _times(left, items)
     left = left.copy()
     left[kinds] -= need * times
     return left, [*plan, (items, times)], waste + times * (cap - sum(items))

@@ -318,6 +318,54 @@ def test_completion_beats_an_unlucky_best_fit():
     assert sum(n for _, n in packing.bin_completion(counts, width=8)) == 5
 
 
+def fewest(pieces, cap):
+    """The least number of sequences, by all ways to place the pieces, largest first."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for r in {r for r in rooms if r >= pieces[i]}:
+            rest = list(rooms)
+            rest.remove(r)
+            place(i + 1, [*rest, r - pieces[i]])
+        place(i + 1, [*rooms, cap - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+def test_completion_with_production_defaults_is_optimal():
+    cases = [(100, (63, 50, 49, 46, 39, 37, 37, 28, 27, 27, 19, 19, 18, 15, 11, 8, 4, 3)), (24, (12, 12, 10, 9, 9, 9, 8, 6, 6, 6, 5, 5, 5, 4, 4, 3, 3, 2, 2))]
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        cases.append((40, tuple(sorted(r.integers(5, 22, 13).tolist(), reverse=True))))
+    for cap, pieces in cases:
+        counts = np.bincount(pieces, minlength=cap + 1)
+        plan = packing.bin_completion(counts)
+        assert (np.bincount([x for items, n in plan for x in items * n], minlength=cap + 1) == counts).all()
+        assert sum(n for _, n in plan) == fewest(sorted(pieces, reverse=True), cap)
+
+
+@pytest.mark.parametrize("cap,pieces", [
+    (60, (49, 48, 47, 38, 38, 37, 29, 28, 26, 26, 19, 14, 13, 11, 9, 9, 9, 9, 8, 3, 3, 3, 2, 2)),
+    (200, (121, 102, 101, 93, 83, 76, 74, 72, 72, 65, 53, 51, 51, 36, 31, 23, 23, 22, 21, 11, 11, 5, 2, 1)),
+    (100, (77, 75, 65, 61, 58, 51, 32, 30, 26, 19, 18, 17, 16, 14, 12, 11, 11, 7)),
+])
+def test_completion_with_production_defaults_fills_every_sequence(cap, pieces):
+    assert sum(n for _, n in packing.bin_completion(np.bincount(pieces, minlength=cap + 1))) == sum(pieces) // cap
+
+
+def test_all_fillings_are_listed():
+    counts = np.bincount([1, 2, 2, 3, 5], minlength=9)
+    assert packing.completions(7, counts, 99, 999) == ([(5, 2), (3, 2, 2), (5, 1), (3, 2, 1), (2, 2, 1)], True)
+    assert packing.completions(7, counts, 1, 999) == ([(5, 2)], False) and not packing.completions(7, counts, 99, 3)[1]
+
+
 def test_packed_sequences(spark):
     from tokenizers import Tokenizer
 

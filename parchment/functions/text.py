@@ -143,43 +143,95 @@ def iso_date(match: Column, kind: int, as_of_year: int) -> Column:
     return F.when(m.isNotNull() & y.between(1900, as_of_year + 5), F.date_format(date, "yyyy-MM-dd"))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,whole,value>> of all matches: code points, end exclusive; value is group 1.
+#: Items that one fold adds up: a fold copies its state at each step, so the state must stay small.
+_GROUP_SIZE = 256
+#: Characters in a block: see blocks().
+BLOCK = 512
+
+
+def running(numbers: Column) -> Column:
+    """array<int>: for each number the sum of those before it. Groups of numbers are added up, then the sums of the groups:
+    linear up to millions of numbers."""
+
+    def few(xs: Column, base: Column) -> Column:
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(xs, F.struct(base.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+
+    size = F.lit(_GROUP_SIZE)
+    group = lambda g: F.slice(numbers, g * size + 1, size)
+    nth = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / size).cast("int"))
+    sums = F.transform(nth, lambda g: F.aggregate(group(g), F.lit(0), lambda a, x: a + x))
+    return let(few(sums, F.lit(0)), lambda bases: F.flatten(F.transform(nth, lambda g: few(group(g), F.get(bases, g)))))
+
+
+def blocks(text: Column) -> Column:
+    """The text in pieces of BLOCK characters, the last one shorter, for cut()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(held: Column, start: Column, n: Column) -> Column:
+    """n characters from start (counted from 0) of a text in blocks(), in time that depends on n alone."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice(held, first + 1, F.floor((n + BLOCK - 1) / BLOCK).cast("int") + 1)
+    return F.substr(F.array_join(some, ""), start - first * BLOCK + 1, F.greatest(n, F.lit(0)))
+
+
+def place_of(starts: Column, at: Column) -> Column:
+    """The place in starts (ascending) of the last one up to at, 0 if there is none: a binary search of up to 2**24 places."""
+    steps = F.array(*[F.lit(1 << k) for k in range(23, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda i, w: F.when((i + w < F.size(starts)) & (F.get(starts, i + w) <= at), i + w).otherwise(i))
 
-    A replacement marks each match and repeats its group; the pieces between marks give the offsets, with context
-    assertions seeing the whole text. Texts may not hold U+0001 to U+0003: they become U+0004 here.
-    """
-    safe = F.translate(text, _OPEN + _GROUP + _CLOSE, "\u0004" * 3)
-    marked = F.split(F.regexp_replace(safe, F.lit(jvm(pattern)), F.lit(f"{_OPEN}$0{_GROUP}$1{_CLOSE}")), _OPEN, -1)
-    kind = "struct<at:int,out:array<struct<start:int,end:int,whole:string,value:string>>>"
-    none = F.array().cast("array<struct<start:int,end:int,whole:string,value:string>>")
 
-    def step(state: Column, p: Column) -> Column:
-        whole, rest = F.substring_index(p, _GROUP, 1), F.substring_index(p, _GROUP, -1)
-        stop = state["at"] + F.length(whole)
-        span = F.struct(state["at"].alias("start"), stop.alias("end"), whole.alias("whole"), F.substring_index(rest, _CLOSE, 1).alias("value"))
-        return F.struct((stop + F.length(F.substring_index(rest, _CLOSE, -1))).alias("at"), F.concat(state["out"], F.array(span)).alias("out")).cast(kind)
+def plain_text(text: Column) -> Column:
+    """The text as spans() wants it: U+0001 to U+0003 become U+0004."""
+    return F.translate(text, _OPEN + _GROUP + _CLOSE, "\u0004" * 3)
 
-    def located(pieces: Column) -> Column:
-        first = F.struct(F.length(pieces[0]).alias("at"), none.alias("out")).cast(kind)
-        return F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), first, step, lambda s: s["out"])).otherwise(none)
+
+def folded(text: Column) -> Column:
+    """Lower case in which a word is found wherever a pattern that ignores case finds it."""
+    return F.lower(F.translate(text, "\u017f\u212a\u0130\u0131", "skii"))
+
+
+def marked(text: Column, pattern: str) -> Column:
+    """A plain_text() with each match of the pattern, and its group 1 again, between marks."""
+    return F.regexp_replace(text, F.lit(jvm(pattern)), F.lit(f"{_OPEN}$0{_GROUP}$1{_CLOSE}"))
+
+
+def located(text: Column) -> Column:
+    """array<struct<start,end,whole,value>> of what is marked(): code points, end exclusive; value is group 1.
+
+    The lengths of the pieces between marks give the offsets, in time linear in the text. An expensive expression to
+    plan: where many patterns run, one transform over an array of marked texts plans it once.
+    """
+    # text, match, group, text, match, group, ..., text; groups count as empty
+    lengths = lambda pieces: F.transform(pieces, lambda p, i: F.when(i % 3 == 2, 0).otherwise(F.length(p)))
+    one = lambda pieces, at, i: F.struct(F.get(at, i).alias("start"), F.get(at, i + 1).alias("end"), F.get(pieces, i).alias("whole"), F.get(pieces, i + 1).alias("value"))
+
+    def every(pieces: Column) -> Column:
+        nth = F.slice(F.sequence(F.lit(1), F.size(pieces) + 1, F.lit(3)), F.lit(1), F.floor(F.size(pieces) / 3).cast("int"))
+        return let(let(lengths(pieces), running), lambda at: F.transform(nth, lambda i: one(pieces, at, i)))
 
     # bound as a lambda's variable, the replacement is computed once
-    return F.transform(F.array(marked), located)[0]
+    return let(F.split(text, f"[{_OPEN}{_GROUP}{_CLOSE}]", -1), every)
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """located() matches of a pattern, context assertions seeing the whole text; U+0001 to U+0003 count as U+0004 here."""
+    return located(marked(plain_text(text), pattern))
 
 
 def chunk_paragraphs(c: Column, most: int = 300) -> Column:
     """Paragraphs, those of more words than most as groups of sentences filled greedily; one sentence is never cut."""
     count = lambda x: F.size(F.filter(F.split(x, f"{S}+"), lambda w: w != ""))
-    kind = "struct<out:array<string>,held:array<string>,n:int>"
+    none = F.array().cast("array<string>")
 
     def groups(p: Column) -> Column:
-        first = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("n")).cast(kind)
+        first = F.struct(none.alias("out"), none.alias("held"), F.lit(0).alias("n"))
 
         def step(a: Column, x: Column) -> Column:
             full = (a["n"] + count(x) > most) & (F.size(a["held"]) > 0)
-            new = F.struct(F.concat(a["out"], F.array(F.array_join(a["held"], " "))).alias("out"), F.array(x).alias("held"), count(x).alias("n")).cast(kind)
-            more = F.struct(a["out"].alias("out"), F.concat(a["held"], F.array(x)).alias("held"), (a["n"] + count(x)).alias("n")).cast(kind)
+            new = F.struct(F.concat(a["out"], F.array(F.array_join(a["held"], " "))).alias("out"), F.array(x).alias("held"), count(x).alias("n"))
+            more = F.struct(a["out"].alias("out"), F.concat(a["held"], F.array(x)).alias("held"), (a["n"] + count(x)).alias("n"))
             return F.when(full, new).otherwise(more)
 
         done = lambda a: F.concat(a["out"], F.array(F.array_join(a["held"], " ")))
@@ -192,17 +244,16 @@ def chunk_paragraphs(c: Column, most: int = 300) -> Column:
 
 def chunk_chars(c: Column, limit: int = 480) -> Column:
     """Pieces of at most limit characters, ended by sentences where possible."""
-    kind = "struct<out:array<string>,cur:string>"
-    first = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur")).cast(kind)
+    none = F.array().cast("array<string>")
+    first = F.struct(none.alias("out"), F.lit("").alias("cur"))
 
     def step(a: Column, x: Column) -> Column:
         fits = F.length(a["cur"]) + F.length(x) + 1 <= limit
         out = F.when(a["cur"] != "", F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"])
-        whole = F.greatest(F.lit(0), F.floor((F.length(x) - 1) / limit)).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0))), lambda i: F.substr(x, i * limit + 1, F.lit(limit)))
-        longer = F.struct(F.concat(out, cut).alias("out"), F.substr(x, whole * limit + 1, F.lit(limit)).alias("cur")).cast(kind)
-        other = F.when(F.length(x) <= limit, F.struct(out.alias("out"), x.alias("cur")).cast(kind)).otherwise(longer)
-        return F.when(fits, F.struct(a["out"].alias("out"), strip(F.concat(a["cur"], F.lit(" "), x)).alias("cur")).cast(kind)).otherwise(other)
+        parts = F.regexp_extract_all(x, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0))
+        longer = let(parts, lambda ps: F.struct(F.concat(out, F.slice(ps, F.lit(1), F.size(ps) - 1)).alias("out"), F.element_at(ps, -1).alias("cur")))
+        other = F.when(F.length(x) <= limit, F.struct(out.alias("out"), x.alias("cur"))).otherwise(longer)
+        return F.when(fits, F.struct(a["out"].alias("out"), strip(F.concat(a["cur"], F.lit(" "), x)).alias("cur"))).otherwise(other)
 
     done = lambda a: F.when(a["cur"] != "", F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"])
     return F.when(F.length(c) <= limit, F.array(c)).otherwise(F.aggregate(F.split(c, f"(?<=[.!?।]){S}+"), first, step, done))

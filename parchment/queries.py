@@ -14,11 +14,13 @@ from .operators import fields as fd
 from .operators import lines as ln
 from .operators import rules, tables
 from .operators.timeline import timeline
-from .plans.analyze import analyze, to_json
+from .plans.analyze import Providers, analyze, to_json
 from .render import CLAIMS, CONTOURS
 from .sources import uploads as up
 
 QUERIES, SQL = {}, {}
+#: The year that bounds dates in the registered queries.
+AS_OF = 2026
 
 
 def query(sql: str | None = None):
@@ -110,7 +112,7 @@ def page_text(spark, sf_dir):
 @query(_INDEX + ", m AS (SELECT doc_id, CAST(floor(max(char_start + length(text)) / 2) AS BIGINT) AS middle FROM i GROUP BY doc_id) SELECT m.doc_id, CAST(arg_max(i.page_no, i.char_start) AS INTEGER) AS page FROM m JOIN i ON i.doc_id = m.doc_id AND i.char_start <= m.middle GROUP BY m.doc_id")
 def line_lookup(spark, sf_dir):
     docs = ln.document_texts(_indexed_talks(spark, sf_dir))
-    return docs.select("doc_id", ln.source_of(F.col("lines"), F.lit(0), F.length("text"))["page"].alias("page"))
+    return docs.select("doc_id", ln.source_of(F.col("lines"), F.col("lines.char_start"), F.lit(0), F.length("text"))["page"].alias("page"))
 
 
 _ALPHA, _ALNUM, _SEEN = (f"length(regexp_replace(text, '{p}', '', 'g'))" for p in (r"[^\p{L}]", r"[^\p{L}\p{N}]", r"\s"))
@@ -271,7 +273,7 @@ UNION ALL SELECT doc_id, {render.iso("dis")}, 'discharge' FROM c
 
 @query(f"WITH c AS ({CLAIMS}), e AS ({_EVENTS}) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY date, event) AS INTEGER) AS nth, date, event, CAST(1 AS INTEGER) AS page FROM e")
 def events(spark, sf_dir):
-    return timeline(_claims(spark, sf_dir)[1]).select("doc_id", "nth", "date", "event", F.col("source.page").alias("page"))
+    return timeline(_claims(spark, sf_dir)[1], AS_OF).select("doc_id", "nth", "date", "event", F.col("source.page").alias("page"))
 
 
 _FACTS = f"""
@@ -292,7 +294,7 @@ def _decided(spark, sf_dir):
     lines, docs = _claims(spark, sf_dir)
     found = fd.merge_pairs(fd.merge_sides(fd.pattern_fields(docs)), fd.pairs(lines))
     seen = tables.visual_elements(render.table(spark, sf_dir, CONTOURS))
-    return rules.decide(rules.facts(docs, found, timeline(docs), seen))
+    return rules.decide(rules.facts(docs, found, timeline(docs, AS_OF), seen))
 
 
 @query(f"""WITH c AS ({CLAIMS}), {_FACTS}, g AS ({_FLAGS})
@@ -324,7 +326,7 @@ def rule_checks(spark, sf_dir):
 
 @query()
 def responses(spark, sf_dir):
-    return to_json(analyze(render.pages(spark, sf_dir), contours=render.table(spark, sf_dir, CONTOURS))["responses"])
+    return to_json(analyze(render.pages(spark, sf_dir), Providers(AS_OF), contours=render.table(spark, sf_dir, CONTOURS))["responses"])
 
 
 # ---- tables and visuals -------------------------------------------------------------------------------------------------
@@ -358,14 +360,14 @@ def digital_tables(spark, sf_dir):
     return tables.digital_tables(grids).select("doc_id", "rows", "cols", "title", F.size("cells").alias("n_cells"))
 
 
-_SHAPES = "SELECT p_partkey AS doc_id, 1 AS page, CASE WHEN p_partkey % 2 = 0 THEN 'stamp' ELSE 'signature' END AS kind, CAST(1 AS INT) AS x, CAST(2 AS INT) AS y, CAST(p_size * 5 AS INT) AS w, CAST(p_size + p_partkey % 30 AS INT) AS h, CAST(p_size * 20 AS DOUBLE) AS area, CAST(p_size * 9 AS DOUBLE) AS perimeter, CAST(700 AS INT) AS page_w, CAST(900 AS INT) AS page_h FROM part"
+_SHAPES = "SELECT p_partkey AS doc_id, 1 AS page, CASE WHEN p_partkey % 2 = 0 THEN 'stamp' ELSE 'signature' END AS kind, CAST(1 AS INT) AS x, CAST(CASE WHEN p_partkey % 4 = 1 THEN 500 ELSE 630 + p_partkey % 50 END AS INT) AS y, CAST(p_size * 5 AS INT) AS w, CAST(p_size + p_partkey % 30 AS INT) AS h, CAST(p_size * 20 AS DOUBLE) AS area, CAST(p_size * 9 AS DOUBLE) AS perimeter, CAST(700 AS INT) AS page_w, CAST(900 AS INT) AS page_h FROM part"
 
 
 @query(f"""
 WITH s AS ({_SHAPES}), c AS (SELECT *, CAST(w AS DOUBLE) / h AS aspect, area / (w * h) AS density, area / (page_w * page_h) AS share, perimeter * perimeter / (area + 1) AS rough FROM s WHERE w > 0 AND h > 0)
 SELECT doc_id, kind AS type, round(CASE kind WHEN 'stamp' THEN least(0.9, density + 0.5) ELSE least(0.8, rough / 200 + 0.3) END, 9) AS confidence FROM c
 WHERE (kind = 'stamp' AND share BETWEEN 0.0005 AND 0.05 AND aspect BETWEEN 0.3 AND 3.5 AND density >= 0.15)
-   OR (kind = 'signature' AND w >= 60 AND h >= 15 AND w <= page_w * 0.8 AND h <= page_h * 0.08 AND aspect BETWEEN 1.5 AND 12 AND area >= 50 AND rough >= 25)
+   OR (kind = 'signature' AND y >= floor(page_h * 0.7) AND w >= 60 AND h >= 15 AND w <= page_w * 0.8 AND h <= page_h * 0.08 AND aspect BETWEEN 1.5 AND 12 AND area >= 50 AND rough >= 25)
 """)
 def visual_elements(spark, sf_dir):
     _read(spark, sf_dir, "part").createOrReplaceTempView("part")

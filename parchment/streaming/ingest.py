@@ -17,15 +17,16 @@ def arriving(spark: SparkSession, path: str, keep: str = "24 hours") -> DataFram
     return keyed.dropDuplicatesWithinWatermark(["doc_id", "page_no", "sha256"]).drop("sha256")
 
 
-def analyze_stream(pages: DataFrame, out: str, checkpoint: str, providers: Providers | None = None, available_now: bool = True):
+def analyze_stream(pages: DataFrame, out: str, checkpoint: str, providers: Providers, available_now: bool = True):
     """Writes the decisions of each micro-batch under out; a batch that is run again replaces its own folder."""
 
     def batch(df: DataFrame, number: int) -> None:
-        analyze(df.drop("arrived"), providers=providers)["decisions"].write.mode("overwrite").parquet(f"{out}/batch={number}")
+        analyze(df.drop("arrived"), providers)["decisions"].write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def health(spark: SparkSession, providers: Providers | None = None) -> dict[str, bool]:
-    return {"success": not spark.sparkContext._jsc.sc().isStopped(), "translator_ready": bool(providers and providers.translate)}
+def health(spark: SparkSession, providers: Providers | None = None, recogniser: object | None = None) -> dict[str, bool]:
+    """Whether the session answers, and which models were given."""
+    return {"success": not spark.sparkContext._jsc.sc().isStopped(), "recogniser_ready": recogniser is not None, "translator_ready": bool(providers and providers.translate)}

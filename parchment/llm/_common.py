@@ -15,10 +15,13 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder on one
+    machine (local mode, as in tests), and an error on a cluster, whose executors do not see the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="parchment-")
@@ -33,24 +36,35 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
         atexit.register(_clean)
     _OWN.append((spark, path))
     df.write.parquet(path, **options)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
 
 
 def _clean() -> None:
     for spark, path in _OWN:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone
-            return
+        _delete(spark, path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound Arrow batches by rows, since one text may hold megabytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may be gone, or the folder
+        pass
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of materialize() that nothing will read again."""
+    _OWN.remove((df.sparkSession, df._shared_path))
+    _delete(df.sparkSession, df._shared_path)
+
+
+def pieces(batches, rows: int = 2000):
+    """The batches in slices of rows at most: what a function makes of a slice stays small, since one text may hold megabytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 # ---- words and shingles as 64-bit hashes, computed over whole byte arrays -------------------------------------
@@ -139,7 +153,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     smallest node. Every round is written to the shared folder, so that lost executors cost one round.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now = materialize(now, "edges")
+    now = written = materialize(now, "edges")
     while True:
         state = now.agg(F.count("*").alias("n"), F.countDistinct("u").alias("children")).first()
         if state["n"] == state["children"] and now.select("u").join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
@@ -151,5 +165,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         least = now.groupBy("u").agg(F.min("v").alias("m"))
         moved = now.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = written, materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(before)
+        written = now
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

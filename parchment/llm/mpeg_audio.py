@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
-from ._common import materialize, small_batches
+from ._common import materialize, pieces
 
 #: Fixed values of ISO 11172-3 and 13818-3: kbit/s by (MPEG-1 or not, layer), Hz by version, nbal of Layer II by table.
 BITRATES = {
@@ -105,7 +105,8 @@ def _decode(raw: bytes) -> str:
 
 
 def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
-    """Tags, and where the audio between them starts and ends."""
+    """Tags, and where the audio between them starts and ends. Where an Info table tells the length of the audio and no
+    byte is beyond it, the end of the last frame may look like a tag and is none."""
     tags, start, end = {}, 0, len(data)
     while data[start : start + 3] == b"ID3" and start + 10 <= len(data) and not any(x & 0x80 for x in data[start + 6 : start + 10]):
         size, major = _syncsafe(data[start + 6 : start + 10]), data[start + 3]
@@ -119,6 +120,8 @@ def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
                 tags[key] = text
             at += 10 + n
         start += 10 + size + (10 if data[start + 5] & 0x10 else 0)
+    if _told_end(data, start) == end:
+        return tags, min(start, end), end
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         v1 = data[end - 128 : end]
         for key, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
@@ -138,6 +141,13 @@ def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
     return tags, min(start, end), end
 
 
+def _told_end(data: bytes, start: int) -> int | None:
+    """Where the audio ends by the table in its first frame, if that has one."""
+    h = header(data[start : start + 4])
+    table = _vbr(data, start, h) if h and start + h[0] <= len(data) else None
+    return start + table["bytes"] if table and table.get("bytes") else None
+
+
 def _vbr(data: bytes, at: int, h: tuple) -> dict | None:
     """The Xing/Info or VBRI table of a frame, if it holds one instead of sound."""
     for place in {at + 4 + h[9], at + 6 + h[9]}:
@@ -254,14 +264,13 @@ def analyse_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     Empty or damaged streams give n_frames 0 or the frames that can be found, with the bytes skipped. A column named
     audio that df has already is replaced. Repeated rows and other columns pass through.
     """
-    small_batches(df.sparkSession, 500)
     rest = [c for c in df.columns if c != "audio"]
     kept = df.select(*rest)
     out = StructType([*kept.schema.fields, StructField("audio", StructType.fromDDL(SCHEMA))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _audio_type()
-        for batch in batches:
+        for batch in pieces(batches, 500):
             rows = [parse(v.as_py()) for v in batch.column(media_col)]
             for r in rows:
                 if r is not None:
@@ -277,11 +286,12 @@ def _audio_type() -> pa.DataType:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, media): each text's UTF-8 bytes (null: none), padded with bytes 0 to a positive multiple of 64, as an MPEG stream."""
-    small_batches(docs.sparkSession, 500)
+    """(id_col, n_bytes, media): each text's UTF-8 bytes (null: none), padded with bytes 0 to a positive multiple of 64, as an MPEG stream.
+
+    Rows that repeat an id, and null ids, each have theirs; other columns are ignored; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 500):
             n, media = [], []
             for v in batch.column(1).cast(pa.large_binary()):
                 raw = v.as_py() or b""
@@ -294,7 +304,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def digest_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads stored streams back: the payload's and the stream's digests and what parse() finds, as one string."""
+    """Reads stored streams back: the payload's and the stream's digests and what parse() finds, as one string. One row for each
+    row of store_texts(), none for an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import components, materialize, mix, shingle_set, shingles, small_batches
+from ._common import components, materialize, mix, pieces, shingle_set, shingles
 
 LEAF = 16
 #: Elements that small sets have at most at level 0, and the least bits of a signature.
@@ -126,9 +126,12 @@ def _leaf_pairs(x: SignatureTree, y: SignatureTree, a: int, b: int, num: int, de
 def block_partners(left: list[tuple], right: list[tuple] | None, num: int, den: int) -> set[int]:
     """Ids with some partner in the block that their signatures do not rule out. Items: (id, size, level, map, next map).
 
-    Signatures of large sets hold a sample of their elements; what is not in the sample is slack. The sizes of documents that link are so near that their levels differ by one at most.
+    Signatures of large sets hold a sample of their elements; what is not in the sample is slack. A signature is there as
+    of its level and of the next: where sizes that link may differ by more than a level, only sizes rule a pair out.
     """
     out: set[int] = set()
+    if 2 * num < den:  # sizes that link may be more than a factor of 2 apart
+        return _partners_by_size(left, right, num, den)
     for level in sorted({d[2] for d in left + (right or [])}):
         trees = []
         for side in (left, right if right is not None else []):
@@ -148,6 +151,18 @@ def block_partners(left: list[tuple], right: list[tuple] | None, num: int, den:
     return out
 
 
+def _partners_by_size(left: list[tuple], right: list[tuple] | None, num: int, den: int) -> set[int]:
+    """Ids with some partner whose size does not rule a link out."""
+
+    def hits(own: list[tuple], other: list[tuple], twice: int) -> set[int]:
+        sizes = np.sort(np.array([d[1] for d in other], np.int64))
+        least, most = (np.array([f(d[1]) for d in own], np.int64) for f in (lambda n: -(-(num * n) // den), lambda n: n * den // num if num else 2**62))
+        n = np.searchsorted(sizes, most, "right") - np.searchsorted(sizes, least, "left")
+        return {d[0] for d, k in zip(own, n.tolist()) if k > twice}
+
+    return hits(left, left, 1) if right is None else hits(left, right, 0) | hits(right, left, 0)
+
+
 def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, num: int, den: int) -> tuple[list[tuple[int, int]], int]:
     """A spanning forest of the links within left, or between left and right. Also how many pairs were compared.
 
@@ -253,7 +268,7 @@ def signature(s: np.ndarray) -> tuple[int, bytes, bytes]:
 def _route(k: int, num: int, den: int, tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, kind = tables.value
-        for batch in batches:
+        for batch in pieces(batches):
             n, digest, keys, ends, signs = [], [], [], [0], []
             for text in _texts(batch):
                 words, found = shingles(text, k)
@@ -328,7 +343,6 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of sub-blocks.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     tables = spark.sparkContext.broadcast(rarity(docs, "text", k))
     sets = materialize(docs.mapInArrow(_route(k, num, den, tables), "id long, n long, digest binary, keys array<long>, level int, map binary, next binary"), "prefixes")
@@ -361,7 +375,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sets.select("id", "n", "digest")
         .join(classes, "digest", "left")
         .join(groups, F.col("rep") == F.col("node"), "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
+        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), None).when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
     )
 
 

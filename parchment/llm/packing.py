@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialize, small_batches
+from ._common import materialize, pieces as slices
 
 CAPACITY = 2048
 Plan = list[tuple[tuple[int, ...], int]]
@@ -289,11 +289,9 @@ def _encoder(path: str):
 
 def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32): each document's ids and end_id, cut where longer than capacity."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             take, rows = [], ([], [], [], [])
             for i, v in enumerate(batch.column(1)):
                 ids = np.array(encode(v.as_py() or ""), "<u4")

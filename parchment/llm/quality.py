@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, word_hashes
+from ._common import pieces, word_hashes
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[[9, 10, 11, 12, 13]] = 0x20
@@ -79,7 +79,7 @@ def _weighted(dims: np.ndarray, counts: np.ndarray, words: int, idf: np.ndarray)
 
 def _features_of(words: int, shapes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [features(v.as_buffer() if v.is_valid else b"", words, shapes) for v in batch.column("text").cast(pa.large_binary())]
             cols = [pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *cols], ["id", "label", "dims", "counts"])
@@ -90,10 +90,10 @@ def _features_of(words: int, shapes: int):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 4096, words: int = 4096, shapes: int = 512, rank: int = 48, neighbours: int = 15, sharpness: float = 8.0, doubt: float = 0.5) -> Model | None:
     """Fit on at most fit_rows labelled documents, those with the smallest hashes of their ids. None without any.
 
-    Rows of labels with a null id or label take no part; of an id labelled more than once, the smallest label counts.
+    Rows of labels with a null id or label take no part; of an id labelled more than once, the smallest label counts; of
+    rows that repeat an id, one counts.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     # labels of documents that are there; ids alone are put in order, not texts
     known = docs.select(F.col(id_col).alias("id")).distinct()
@@ -102,9 +102,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     picked = spark.createDataFrame([(r["id"], r["label"]) for r in chosen], "id long, label int")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # fit_rows rows at most
-    rows = texts.mapInArrow(_features_of(words, shapes), "id long, label int, dims array<int>, counts array<float>").collect()
-    rows = sorted(({(r["id"], tuple(r["dims"])): r for r in rows}).items())
-    found = [(np.array(r["dims"], np.int64), np.array(r["counts"], np.float32), r["label"]) for _, r in rows][: 2 * fit_rows]
+    rows = texts.mapInArrow(_features_of(words, shapes), "id long, label int, dims array<int>, counts array<float>")
+    # of rows that repeat an id one teaches, the same one in every run, so that at most fit_rows reach the driver
+    rows = rows.groupBy("id").agg(F.min(F.struct("dims", "counts", "label")).alias("r")).orderBy("id").select("r.*").collect()
+    found = [(np.array(r["dims"], np.int64), np.array(r["counts"], np.float32), r["label"]) for r in rows]
     seen = np.zeros(words + shapes + FORMS, np.int64)
     for dims, _, _ in found:
         seen[dims] += 1
@@ -152,7 +153,7 @@ def _scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_scores(shared.value, batch.column("text")))], ["id", "score"])
 
     return run
@@ -161,7 +162,6 @@ def _score(shared):
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score) per row. Null and empty texts get the share of label 1 in the sample, as does every row where
     nothing was labelled (then 1.0: nothing speaks against it). Other columns are ignored."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     if model is None:
         return docs.select(id_col, F.lit(1.0).alias("score"))
@@ -170,15 +170,16 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def keep(docs: DataFrame, model: Model | None, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score at least threshold, whole; scored and filtered in one pass."""
+    """The rows of docs that score at least threshold, whole; scored and filtered in one pass. Null and empty texts score
+    the share of label 1 in the sample; rows that repeat others, and null ids, are judged each on its own; without a
+    model all rows stay."""
     if model is None:
         return docs
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

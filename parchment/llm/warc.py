@@ -17,7 +17,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 @dataclass
 class Archive:
-    """payloads: digest (SHA-256), payload, one row each. headers: record_id, header, digest, one row a record, exact bytes."""
+    """payloads: digest (SHA-256), payload, one row each. headers: record_id, url (both exactly as given), header (the
+    record's bytes before its payload), digest; one row a record."""
 
     payloads: DataFrame
     headers: DataFrame
@@ -61,11 +62,11 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         _line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("n"))),
         F.lit(_EOL),
     )
-    return Archive(materialize(store, "warc-payloads", compression="zstd"), materialize(of.select("record_id", header.alias("header"), "digest"), "warc-headers"))
+    return Archive(materialize(store, "warc-payloads", compression="zstd"), materialize(of.select("record_id", "url", header.alias("header"), "digest"), "warc-headers"))
 
 
 def _field(name: str) -> Column:
-    return F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)", 1)
+    return F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
 
 
 def read_archive(archive: Archive) -> DataFrame:
@@ -76,14 +77,14 @@ def read_archive(archive: Archive) -> DataFrame:
     stored = stored.select("digest", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     kind, target = _field("WARC-Type"), F.nullif(_field("WARC-Refers-To"), F.lit(""))
     heads = archive.headers.select(
-        F.regexp_extract("header", r"record:(-?\d+)>", 1).alias("id"), "header", "digest", kind.alias("record_type"),
-        F.nullif(_field("WARC-Target-URI"), F.lit("")).alias("url"), F.regexp_extract(target, r"record:(-?\d+)>", 1).cast("long").alias("refers_to"),
-        F.regexp_extract("header", r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]*)", 1).alias("said"),
+        "record_id", "url", "header", "digest", kind.alias("record_type"), F.regexp_extract(target, r"record:(-?\d+)>", 1).alias("to"),
+        _field("WARC-Payload-Digest").alias("said"), F.regexp_extract(_field("WARC-Record-ID"), r"record:(-?\d+)>", 1).alias("own"),
     )
-    both = heads.join(stored, "digest").where(F.assert_true(F.col("said") == F.col("payload_digest"), "a record's digest is not its payload's").isNull())
+    both = heads.join(stored, "digest").where(F.assert_true(F.col("said") == F.concat(F.lit("sha1:"), "payload_digest"), "a record's digest is not its payload's").isNull())
+    both = both.where(F.assert_true(F.col("own") == F.coalesce(F.col("record_id").cast("string"), F.lit("")), "a record's header names another record").isNull())
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     record = F.concat(F.encode("header", "utf-8"), body, F.lit(b"\r\n\r\n"))
-    return both.select(F.nullif("id", F.lit("")).cast("long").alias("record_id"), "record_type", "url", "refers_to", "payload", "payload_bytes", "payload_digest", record.alias("record"))
+    return both.select("record_id", "record_type", "url", F.nullif("to", F.lit("")).cast("long").alias("refers_to"), "payload", "payload_bytes", "payload_digest", record.alias("record"))
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def components(docs, k, num, den):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("k,num,rows", [(3, 90, 4096), (5, 80, 4096), (3, 60, 3)])
+@pytest.mark.parametrize("k,num,rows", [(3, 90, 4096), (5, 80, 4096), (3, 60, 3), (3, 50, 4096), (2, 30, 4096)])
 def test_components_equal_those_of_all_pairs(spark, k, num, rows):
     docs = list(enumerate(prose(260)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -108,6 +108,19 @@ def test_signatures_link_across_levels_and_sides(edge):
     assert ngram_join.block_partners([small], [large], 90, 100) == {0, 1} == ngram_join.block_partners([large], [small], 90, 100)
 
 
+def test_links_below_one_half_cross_levels(spark):
+    words = [f"w{i}" for i in range(560)]
+    docs = [(1, " ".join(words[:250])), (2, " ".join(words)), (3, " ".join(words[:200]))]
+    got = {r.doc_id: r.component_id for r in ngram_join.link_documents(spark.createDataFrame(docs, "doc_id long, text string"), num=40).collect()}
+    assert got == {d: c for d, (_, c) in components(docs, 3, 40, 100).items()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_null_ids_have_no_component(spark):
+    docs = [(1, "a b c d e"), (None, "a b c d e"), (None, None)]
+    got = ngram_join.link_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == ["(1, 3, 1)", "(None, 0, None)", "(None, 3, None)"]
+
+
 def test_components_of_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_documents(odd(spark)).collect()), key=str)
     assert (1, 0, 1) in got and (2, 0, 2) in got and (6, 0, 6) in got and (None, 1, None) in got
@@ -172,6 +185,17 @@ def test_carried_bytes_come_back(spark):
     assert mpeg_audio.digest_media(mpeg_audio.store_texts(none(spark))).collect() == []
 
 
+@pytest.mark.parametrize("sign", [b"TAG", b"APETAGEX"])
+def test_payloads_that_end_like_tags_come_back(sign):
+    for n in (64, 640, 1344, 1408, 2816):
+        for at in range(0, min(n, 200) - len(sign) + 1):
+            payload = bytearray(n)
+            payload[n - at - len(sign) : n - at] = sign
+            for stored in (payload, payload.rstrip(b"\0").ljust(-(-len(payload.rstrip(b"\0")) // 64) * 64, b"\0")):
+                data = mpeg_audio.carry(bytes(stored))
+                assert mpeg_audio.carried(data, mpeg_audio.parse(data)) == bytes(stored)
+
+
 def test_parser_resynchronises_and_checks(spark):
     data = mpeg_audio.carry(bytes(range(256)) * 30)
     p = mpeg_audio.parse(data)
@@ -487,4 +511,14 @@ def test_records_come_back(spark):
     assert (got[1].record_type, got[1].refers_to, got[2].record_type, got[2].refers_to, got[3].record_type) == ("revisit", 2, "response", None, "response")
     assert all(bytes(got[i].payload).decode() == (h or "") for i, _, h in rows)
     assert bytes(got[6].record).endswith(b"\r\n\r\n" + (big + "x").encode() + b"\r\n\r\n") and b"\r\nX: y" not in bytes(got[3].record)
+    assert got[3].url == "http://b\r\nX: y" and got[2].url is None
     assert warc.read_archive(warc.write_archive(df.limit(0))).collect() == []
+
+
+def test_records_without_ids_and_urls_come_back(spark):
+    big = "record:7> " * 200
+    rows = [(None, "", big), (2, "urn:parchment:record:9>", big), (None, "x", big + "y"), (-4, None, "")]
+    got = warc.read_archive(warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert sorted(((r.record_id, r.url, bytes(r.payload).decode(), r.record_type, r.refers_to) for r in got), key=str) == sorted(
+        [(None, "", big, "revisit", 2), (2, rows[1][1], big, "response", None), (None, "x", big + "y", "response", None), (-4, None, "", "response", None)], key=str
+    )

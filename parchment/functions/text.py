@@ -149,19 +149,19 @@ _GROUP_SIZE = 256
 BLOCK = 512
 
 
-def running(numbers: Column) -> Column:
-    """array<int>: for each number the sum of those before it. Groups of numbers are added up, then the sums of the groups:
-    linear up to millions of numbers."""
+def running(numbers: Column, add=lambda a, b: a + b) -> Column:
+    """array<int>: for each number the sum of those before it, from 0. Groups of numbers are added up, then the sums of the
+    groups: linear up to millions of numbers. add: another operation, such as F.greatest."""
 
     def few(xs: Column, base: Column) -> Column:
-        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        step = lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
         return F.aggregate(xs, F.struct(base.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
 
     size = F.lit(_GROUP_SIZE)
     group = lambda g: F.slice(numbers, g * size + 1, size)
     nth = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / size).cast("int"))
-    sums = F.transform(nth, lambda g: F.aggregate(group(g), F.lit(0), lambda a, x: a + x))
-    return let(few(sums, F.lit(0)), lambda bases: F.flatten(F.transform(nth, lambda g: few(group(g), F.get(bases, g)))))
+    sums = F.transform(nth, lambda g: F.aggregate(group(g), F.lit(0), lambda a, x: add(a, x)))
+    return F.when(F.size(numbers) > 0, let(few(sums, F.lit(0)), lambda bases: F.flatten(F.transform(nth, lambda g: few(group(g), F.get(bases, g)))))).otherwise(F.array().cast("array<int>"))
 
 
 def blocks(text: Column) -> Column:

@@ -209,7 +209,7 @@ def located(text: Column) -> Column:
 
     def every(pieces: Column) -> Column:
         nth = F.slice(F.sequence(F.lit(1), F.size(pieces) + 1, F.lit(3)), F.lit(1), F.floor(F.size(pieces) / 3).cast("int"))
-        return let(let(lengths(pieces), running), lambda at: F.transform(nth, lambda i: one(pieces, at, i)))
+        return let(let(lengths(pieces), lambda n: running(n)), lambda at: F.transform(nth, lambda i: one(pieces, at, i)))
 
     # bound as a lambda's variable, the replacement is computed once
     return let(F.split(text, f"[{_OPEN}{_GROUP}{_CLOSE}]", -1), every)

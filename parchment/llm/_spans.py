@@ -1,76 +1,59 @@
-"""Native pieces that the text scanners share: spans of regular expressions, windows of words, document frequencies."""
+"""Native pieces that the text scanners share: spans of regular expressions, windows of words, replaced spans. Each takes
+time linear in the text, however many spans there are."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import blocks, cut, let, running
+
 #: Marks of regexp_replace; texts that hold them get another control character there, which no pattern mentions.
 _OPEN, _CLOSE, _NEITHER = "\u0001", "\u0002", "\u0003"
 TERM = r"\p{L}[\p{L}\p{M}\p{N}]{2,}"
-#: Rows up to which a set of terms is broadcast; a larger one is joined by a shuffle.
-BROADCAST_TERMS = 200_000
-
-
-def found(text: Column, pattern: str, maybe: Column) -> Column:
-    """array<struct<start,end,value>> of the leftmost non-overlapping matches, in code points, end exclusive.
-
-    maybe: a cheap condition without which there is no match. regexp_replace marks each match; the pieces between the
-    marks give the offsets.
-    """
-    spans = _located(_pieces(text, pattern))
-    return F.when(F.coalesce(maybe, F.lit(False)), spans).otherwise(F.array().cast(_SPANS))
-
+_SPANS = "array<struct<start:int,end:int,value:string>>"
 
-def found_among(text: Column, pattern: str, values: Column) -> Column:
-    """The matches of found() that, in lower case, are in values. Only those are collected, so long texts with few of
-    them take time linear in the text."""
-    few = lambda pieces: F.array_join(F.transform(pieces, lambda p, i: F.when((i % 2 == 1) & F.array_contains(values, F.lower(p)), F.concat(F.lit(_OPEN), p, F.lit(_CLOSE))).otherwise(p)), "")
-    return _located(F.split(few(_pieces(text, pattern)), f"[{_OPEN}{_CLOSE}]", -1))
 
+def unmarked(text: Column) -> Column:
+    return F.translate(text, _OPEN + _CLOSE, _NEITHER * 2)
 
-_SPANS = "array<struct<start:int,end:int,value:string>>"
 
+def marked(text: Column, pattern: str, maybe: Column, before: bool = False) -> Column:
+    """unmarked() text with the leftmost non-overlapping matches between marks. maybe: a cheap condition without which
+    there is no match (the result is then empty). before: group 1 is context ahead of the match, which is group 2."""
+    new = f"$1{_OPEN}$2{_CLOSE}" if before else f"{_OPEN}$0{_CLOSE}"
+    return F.when(F.coalesce(maybe, F.lit(False)), F.regexp_replace(text, F.lit(pattern), F.lit(new))).otherwise("")
 
-def _pieces(text: Column, pattern: str) -> Column:
-    """text, match, text, match, ..., text"""
-    marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, _NEITHER * 2), F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}"))
-    return F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
 
+def located(text: Column) -> Column:
+    """array<struct<start,end,value>> of what is marked(), in code points, end exclusive. Where many patterns run, one
+    transform over an array of marked texts is planned faster than many."""
 
-def _located(pieces: Column) -> Column:
-    kind = f"struct<at:int,out:{_SPANS}>"
-    none = F.array().cast(_SPANS)
-    first = F.struct(F.lit(0).alias("at"), none.alias("out")).cast(kind)
+    def every(pieces: Column) -> Column:
+        nth = F.slice(F.sequence(F.lit(1), F.size(pieces) + 1, F.lit(2)), F.lit(1), F.floor(F.size(pieces) / 2).cast("int"))
+        one = lambda at, i: F.struct(F.get(at, i).alias("start"), F.get(at, i + 1).alias("end"), F.get(pieces, i).alias("value"))
+        return let(let(F.transform(pieces, lambda p: F.length(p)), lambda n: running(n)), lambda at: F.transform(nth, lambda i: one(at, i)))
 
-    def located(pieces: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            value = F.element_at(pieces, i)
-            stop = state["at"] + F.length(value)
-            span = F.struct(state["at"].alias("start"), stop.alias("end"), value.alias("value"))
-            return F.struct(stop.alias("at"), F.when(i % 2 == 0, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out")).cast(kind)
+    # bound as a lambda's variable, the pieces are computed once
+    return F.coalesce(let(F.split(text, f"[{_OPEN}{_CLOSE}]", -1), every), F.array().cast(_SPANS))
 
-        return F.when(F.size(pieces) > 1, F.aggregate(F.sequence(F.lit(1), F.size(pieces)), first, step, lambda s: s["out"])).otherwise(none)
 
-    # bound as a lambda's variable, the pieces are computed once
-    return F.transform(F.array(pieces), located)[0]
+def words(text: Column) -> Column:
+    """array<struct<start,end,term>>: the terms of a text in lower case."""
+    return F.transform(located(marked(unmarked(text), TERM, F.lit(True))), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("term")))
 
 
-def around(text: Column, start: Column, end: Column, chars: int) -> tuple[Column, Column]:
-    """The text before start and behind end, chars code points at most."""
-    at = F.greatest(F.lit(0), start - chars)
-    return F.substr(text, at + 1, start - at), F.substr(text, end + 1, F.lit(chars))
+def replaced(text: Column, spans: Column, new) -> Column:
+    """The text with each of spans (sorted structs of start, end, ...) replaced by new(span, characters): of spans that
+    overlap, the first counts for all. characters: how many are replaced by it."""
 
+    def made(held: Column, ss: Column) -> Column:
+        def with_ends(before: Column) -> Column:
+            # before: how far the spans ahead of each reach
+            piece = lambda s, i: F.when(s["start"] >= F.get(before, i), F.concat(cut(held, F.get(before, i), s["start"] - F.get(before, i)), new(s, s["end"] - s["start"]))).otherwise(new(None, F.greatest(F.lit(0), s["end"] - F.get(before, i))))
+            last = F.greatest(F.element_at(before, -1), F.element_at(ss, -1)["end"])
+            return F.concat(F.array_join(F.transform(ss, piece), ""), cut(held, last, F.greatest(F.lit(0), F.length(text) - last)))
 
-def document_frequency(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """(term, df): in how many rows of docs each of terms (term, distinct) occurs, over whole texts; none: no row.
+        return let(running(F.transform(ss, lambda s: s["end"]), F.greatest), with_ends)
 
-    Each document's distinct words meet the set of terms before they are counted, and counts combine before the
-    shuffle, so frequent words move no more than rare ones.
-    """
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(f"({TERM})"), F.lit(1)))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.explode(words).alias("term"))
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    if small:
-        return rows.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    return rows.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
+    return F.when(F.size(spans) > 0, let(blocks(text), lambda held: let(spans, lambda ss: made(held, ss)))).otherwise(text)

@@ -1,9 +1,12 @@
 """Personal data: patterns, and terms that corpus co-occurrence shows to disclose what the patterns protect.
 
-A term t near a protected value c discloses it as far as pointwise mutual information comes up to the information of
-c itself: PMI(c; t) / IC(c), which is 1 where t occurs with c only (Sanchez and Batet, 2016). Counts are over all
-documents. Terms that disclose enough, seen with the value in enough different texts, are spans too, wherever they occur
-in any document: those at the upper threshold are removed, the others generalised. All of it is DataFrame operations.
+A term t near a protected entity c discloses it as far as pointwise mutual information comes up to the information of
+c itself: PMI(c; t) / IC(c), which is 1 where t occurs with c only (Sanchez and Batet, 2016). Entities are each value
+itself and what it shares with others: the account and the host of an address, the network of an ip, the issuer of a
+card, the number before the last four digits of a phone. Counts are over all different texts. A term that different texts
+show with an entity is a span wherever it occurs in any text: removed at the upper threshold, generalised from the
+lower one. Of a value that is in one text only, a term beside it counts if it occurs in no other text either: then it
+reveals all of it. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -11,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, place_of
 from ._common import materialize
-from ._spans import BROADCAST_TERMS, TERM, around, document_frequency, found, found_among
+from ._spans import TERM, located, marked, replaced, unmarked, words
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns. Possessive, and started only where a run of their characters starts or a match ended: the matches are
@@ -23,9 +27,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Rows with a disclosing term that are broadcast; with more, the texts are joined by a shuffle.
-BROADCAST_ROWS = 1 << 16
-SPAN = "struct<kind:string,start:int,end:int,value:string>"
+#: Terms, and pairs of text and term, that are broadcast (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
+_PAIR = "\u0001"
 
 
 def _luhn(digits: Column) -> Column:
@@ -48,10 +52,12 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """For each kind an array of spans (kind, start, end, value); none for null."""
+def base_spans(text: Column) -> Column:
+    """array of spans (kind, start, end, value), by KINDS, then start; none for null."""
     maybe = {"email": text.contains("@"), "ip": text.contains("."), "card": F.lit(True), "phone": text.contains("+")}
-    return {kind: _checked(kind, found(text, PATTERNS[kind], maybe[kind])) for kind in KINDS}
+    plain = unmarked(text)
+    found = F.transform(F.array(*[marked(plain, PATTERNS[k], maybe[k]) for k in KINDS]), lambda t: located(t))
+    return let(found, lambda fs: F.concat(*[_checked(kind, fs[i]) for i, kind in enumerate(KINDS)]))
 
 
 def _checked(kind: str, spans: Column) -> Column:
@@ -64,112 +70,119 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _masked(text: Column, base: Column) -> Column:
+def masked(text: Column, base: Column) -> Column:
     """text with the characters of its base spans as spaces, so that places stay."""
-    state = "struct<at:int,out:array<string>>"
+    spans = F.sort_array(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return replaced(text, spans, lambda _, n: F.repeat(F.lit(" "), n))
 
-    def step(a: Column, s: Column) -> Column:
-        kept = F.substr(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
-        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(a["at"], s["start"])))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(kept, blank)).alias("out")).cast(state)
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
-    spans = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    blanked = F.aggregate(spans, first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(base) > 0, blanked).otherwise(text)
+def near(base: Column, held: Column, window: int, most: int) -> Column:
+    """For each of base its kind, value and terms: the nearest most words on either side, whole within window characters."""
 
+    def around(s: Column, at: Column) -> Column:
+        some = F.slice(held, F.greatest(at - most + 2, F.lit(1)), F.lit(2 * most + 1))
+        left = F.filter(some, lambda w: (w["end"] <= s["start"]) & (w["start"] >= s["start"] - window))
+        right = F.filter(some, lambda w: (w["start"] >= s["end"]) & (w["end"] <= s["end"] + window))
+        return F.concat(F.slice(right, 1, most), left)["term"]
 
-def _everywhere(own: DataFrame, rows: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, digest, start, end, term, disclosure) of every occurrence of known (term, disclosure) in own (id, text),
-    outside the base spans of rows. pairs: the words near values, which may be parts of what is one word with the value.
-    """
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)), F.lower))
-    # the digest is computed ahead of the explosion, once per text
-    held = own.select("id", F.sha2("text", 256).alias("digest"), words.alias("words")).select("id", "digest", F.explode("words").alias("term")).unionByName(pairs.select("id", "digest", "term"))
-    small = known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    held = held.join(F.broadcast(known) if small else known, "term").groupBy("id", "digest").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("held"))
-    held = materialize(held, "pii-held")
-    held = held.alias("h").join(rows.alias("r"), F.col("h.id").eqNullSafe(F.col("r.id")) & (F.col("h.digest") == F.col("r.digest")), "inner").select("h.id", "h.digest", "held", "base").dropDuplicates(["id", "digest"])
-    held = held.select(F.col("id").alias("i"), F.col("digest").alias("d"), "held", "base")
-    few = held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = own.join(F.broadcast(held) if few else held, F.col("id").eqNullSafe(F.col("i")) & (F.sha2("text", 256) == F.col("d")))
-    spans = texts.select("id", F.col("d").alias("digest"), "held", F.explode(found_among(_masked(F.col("text"), F.col("base")), TERM, F.map_keys("held"))).alias("s"))
-    spans = spans.select("id", "digest", "held", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lower("s.value").alias("term"))
-    return spans.select("id", "digest", "start", "end", "term", F.col("held")[F.col("term")].alias("disclosure"))
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 120, words: int = 8, support: int = 2, generalise_at: float = 0.9, remove_at: float = 1.0) -> DataFrame:
-    """Per row: id_col, digest (of the text), base and terms: arrays of spans. terms also have disclosure.
-
-    The context of a value is the nearest words terms within window characters on either side. support: different
-    texts that must show a term with the value; copies of one text count once there. What is learned there holds for
-    all texts: a telling term is a span at each of its occurrences outside base spans. Null texts are empty. Rows that
-    repeat an id are looked at each on its own; rows equal in id and text get equal spans. Other columns are ignored.
+    def told(starts: Column) -> Column:
+        return F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), around(s, place_of(starts, s["start"])).alias("terms")))
+
+    return F.when(F.size(held) > 0, let(F.transform(held, lambda w: w["start"]), told)).otherwise(F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), F.array().cast("array<string>").alias("terms"))))
+
+
+def entities(kind: Column, value: Column) -> Column:
+    """What is protected: the value itself first, then what it shares with others."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    wider = F.when(kind == "email", F.array(F.concat(F.lit("account:"), F.substring_index(value, "@", 1)), F.concat(F.lit("host:"), F.substring_index(value, "@", -1))))
+    wider = wider.when(kind == "ip", F.array(F.concat(F.lit("net:"), F.substring_index(value, ".", 3)))).when(kind == "card", F.array(F.concat(F.lit("issuer:"), F.left(digits, F.lit(6)))))
+    wider = wider.otherwise(F.array(F.concat(F.lit("number:"), F.left(digits, F.length(digits) - 4))))
+    return F.concat(F.array(F.concat_ws(":", kind, value)), wider)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if their counted number allows it."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else rows
+
+
+def telling_terms(docs: DataFrame, texts: DataFrame, support: int, generalise_at: float, remove_at: float, least: int) -> DataFrame:
+    """(digest, term, disclosure): which texts hold which disclosing terms. docs: (digest, text), all; texts: (digest, near,
+    words), the different ones with base spans; least: how many different texts there are."""
+    beside = texts.select("digest", F.explode("near").alias("n")).select("digest", entities(F.col("n.kind"), F.col("n.value")).alias("cs"), "n.terms")
+    holders = beside.select("digest", F.explode("cs").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n"))
+    pairs = beside.select("digest", F.posexplode("cs").alias("wider", "entity"), "terms").select("digest", (F.col("wider") > 0).alias("wider"), "entity", F.explode("terms").alias("term"))
+    both = pairs.distinct().groupBy("entity", "term", "wider").agg(F.count("*").alias("texts")).where((F.col("texts") >= support) | ~F.col("wider"))
+    own = texts.select("digest", F.explode(F.array_distinct(F.col("words.term"))).alias("term"))
+    n, c, ct = F.lit(float(max(least, 2))), F.col("n"), F.col("texts")
+
+    def disclosing(rows: DataFrame) -> DataFrame:
+        share = F.when(c >= n, F.lit(0.0)).otherwise(F.log2(n / c * (ct / F.col("df"))) / F.log2(n / c))
+        enough = F.when(ct >= support, F.col("disclosure") >= generalise_at).otherwise((c == 1) & (F.col("df") == 1) & (F.col("disclosure") >= remove_at))
+        return rows.withColumn("disclosure", share).where(enough)
+
+    # texts with base spans alone already rule out what is common among them
+    seen = own.groupBy("term").agg(F.count("*").alias("df"))
+    maybe = materialize(disclosing(both.join(seen, "term").join(holders, "entity")).drop("df", "disclosure"), "pii-pairs")  # with n
+    terms = _few(maybe.select("term").distinct())
+    # each text's different words meet the terms before anything moves
+    every = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)), F.lower))
+    others = docs.select("digest", F.explode(every).alias("term")).join(terms, "term", "left_semi").join(_few(texts.select("digest")), "digest", "left_anti").distinct()
+    held = materialize(own.join(terms, "term", "left_semi").select("digest", "term").unionByName(others.select("digest", "term")), "pii-held")
+    known = disclosing(maybe.join(held.groupBy("term").agg(F.count("*").alias("df")), "term")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    return materialize(held.join(known, "term").select("digest", "term", "disclosure"), "pii-telling")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 120, most: int = 8, support: int = 2, generalise_at: float = 0.9, remove_at: float = 1.0) -> DataFrame:
+    """Per row: id_col, digest (of the text), base and terms: arrays of spans. terms also say whether they are removed.
+
+    The context of a value is the nearest most terms within window characters on either side. support: different texts
+    that must show a term with an entity, or else both must occur in no other text; copies of one text count once. What
+    is learned there holds for all texts: a telling term is a span at each of its occurrences outside base spans. Null
+    texts are empty. Rows that repeat an id are looked at each on its own; rows equal in text get equal spans. Other
+    columns are ignored; an empty table gives an empty result. Any number of matches in one text takes linear time.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    spans = own.withColumn("base", F.concat(*base_spans(F.col("text")).values()))
-
-    def context(s: Column) -> Column:
-        before, after = around(F.col("text"), s["start"], s["end"], window)
-        left, right = found(before, TERM, F.lit(True)), found(after, TERM, F.lit(True))
-        # a word that the window cuts is none
-        left = F.filter(left, lambda t: (t["start"] > 0) | (s["start"] <= window))
-        right = F.filter(right, lambda t: (t["start"] > 0) & (t["end"] < window))
-        left = F.slice(left, F.greatest(F.lit(1), F.size(left) - words + 1), F.lit(words))
-        shift = lambda ts, by: F.transform(ts, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + by).alias("start"), (t["end"] + by).alias("end")))
-        return F.concat(shift(left, s["start"] - F.length(before)), shift(F.slice(right, 1, words), s["end"]))
-
-    near = F.flatten(F.transform("base", lambda s: F.transform(context(s), lambda t: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("value"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))))
-    rows = materialize(spans.select("id", F.sha2("text", 256).alias("digest"), "base", F.when(F.size("base") > 0, near).alias("near")), "pii")
-    pairs = rows.select("id", "digest", F.explode("near").alias("n")).select("id", "digest", "n.*")
-    # c protects a value: in how many texts and rows it is, and with which terms
-    both = pairs.groupBy("value", "term").agg(F.countDistinct("digest").alias("texts"), F.countDistinct("id", "digest").alias("rows")).where(F.col("texts") >= support)
-    both = materialize(both, "pii-pairs")
-    df = document_frequency(docs, text_col, both.select("term").distinct())
-    holders = rows.select("id", "digest", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("value")).groupBy("value").agg(F.countDistinct("id", "digest").alias("n"))
-    total = rows.agg(F.countDistinct("id", "digest")).first()[0]
-    n, c, t, ct = F.lit(float(max(total, 2))), F.col("n"), F.greatest("df", "rows"), F.col("rows")
-    disclosure = F.when(c >= n, F.lit(0.0)).otherwise(F.log2(n * ct / (c * t)) / F.log2(n / c))
-    telling = both.join(df, "term").join(holders, "value").select("value", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
-    telling = materialize(telling, "pii-telling")
-    beside = pairs.join(telling, ["value", "term"]).select("id", "digest", "start", "end", "term", "disclosure")
-    known = telling.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-    terms = beside if known.isEmpty() else beside.unionByName(_everywhere(own, rows, pairs, known))
-    terms = terms.groupBy("id", "digest", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
-    inside = F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"), (F.col("disclosure") >= remove_at).alias("removed"))
-    terms = terms.groupBy("id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", inside.alias("span")))).alias("terms"))
-    terms = terms.select(F.col("id").alias("i"), F.col("digest").alias("d"), F.col("terms.span").alias("terms"))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,removed:boolean>>")
-    out = rows.join(terms, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left")
-    return out.select(F.col("id").alias(id_col), "digest", "base", F.coalesce("terms", none).alias("terms"))
+    digest = F.sha2("text", 256).alias("digest")
+    rows = own.withColumn("base", base_spans(F.col("text"))).withColumn("words", F.when(F.size("base") > 0, words(masked(F.col("text"), F.col("base")))))
+    rows = materialize(rows.select("id", digest, "base", "words", near(F.col("base"), F.col("words"), window, most).alias("near")), "pii")
+    texts = materialize(rows.where("size(base) > 0").dropDuplicates(["digest"]).select("digest", "words", "near"), "pii-texts")
+    least = rows.agg(F.countDistinct("digest")).first()[0]
+    telling = telling_terms(own.select(digest, "text"), texts, support, generalise_at, remove_at, least)
+    with_base = texts.select("digest", F.explode("words").alias("w")).select("digest", "w.*").join(_few(telling), ["digest", "term"])
+    # texts without base spans that hold a term which other texts give away
+    rest = telling.join(texts.select("digest"), "digest", "left_anti")
+    plain = own.select("text", digest).join(_few(rest.select(F.col("digest").alias("d")).distinct()), F.col("digest") == F.col("d"), "left_semi").dropDuplicates(["digest"])
+    without = plain.select("digest", F.explode(words(F.col("text"))).alias("w")).select("digest", "w.*").join(rest, ["digest", "term"])
+    terms = with_base.unionByName(without) if not rest.isEmpty() else with_base
+    span = F.struct("start", "end", F.col("term").alias("value"), (F.col("disclosure") >= remove_at).alias("removed"))
+    kind = "array<struct<kind:string,start:int,end:int,value:string,removed:boolean>>"
+    told = F.transform(F.sort_array(F.collect_list(span)), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["removed"].alias("removed")))
+    terms = terms.groupBy("digest").agg(told.alias("terms"))
+    out = rows.select("id", "digest", "base").join(terms, "digest", "left")
+    return out.select(F.col("id").alias(id_col), "digest", "base", F.coalesce("terms", F.array().cast(kind)).alias("terms"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with every span replaced: values by [EMAIL], [IP], [CARD] or [PHONE], generalised terms by [TERM], removed
     terms by nothing. Overlapping spans are replaced as one, by the first. Texts without spans stay as they are, null
-    too; n_chars, if there, is computed again."""
+    too; n_chars, if there, is computed again. Rows that repeat others stay, equal ones equal; other columns pass
+    through under any name."""
     hits = find(docs, id_col, text_col, **options).where("size(base) + size(terms) > 0")
     plain = "array<struct<start:int,end:int,mark:string>>"
     marks = F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mark"))).cast(plain),
         F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], "").otherwise("[TERM]").alias("mark"))).cast(plain),
     )
-    state = "struct<at:int,out:array<string>>"
-    hits = hits.groupBy(id_col, "digest").agg(F.first(F.array_sort(marks)).alias("marks")).select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), F.col("marks").alias("__marks"))
-    text = F.col(text_col)
-    both = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("__digest")), "left")
-
-    def step(a: Column, m: Column) -> Column:
-        new = F.concat(a["out"], F.array(F.substr(text, a["at"] + 1, m["start"] - a["at"]), m["mark"]))
-        return F.struct(F.greatest(a["at"], m["end"]).alias("at"), F.when(m["start"] >= a["at"], new).otherwise(a["out"]).alias("out")).cast(state)
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
-    clean = F.aggregate("__marks", first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
-    both = both.withColumn(text_col, F.when(F.col("__marks").isNotNull(), clean).otherwise(text))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+    # the columns of docs travel as one, so that no name of theirs can clash
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))
+    hits = hits.groupBy(F.col(id_col).alias("i"), F.col("digest").alias("d")).agg(F.first(F.sort_array(marks)).alias("marks"))
+    both = whole.join(hits, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left")
+    text = F.col("row")[text_col]
+    clean = F.when(F.col("marks").isNotNull(), replaced(text, F.col("marks"), lambda m, _: F.lit("") if m is None else m["mark"])).otherwise(text)
+    out = both.select("row", clean.alias("clean"))
+    kept = [F.col("clean").alias(c) if c == text_col else F.length("clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
+    return out.select(*kept)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:

@@ -15,10 +15,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import blocks, cut, let, place_of
 from ._common import materialize
-from ._spans import TERM, around, document_frequency, found
+from ._spans import TERM, located, marked, unmarked
 
 CANDIDATE = r"(?:\G|(?<![\p{L}0-9+/_-]))[A-Za-z0-9+/_-]{16,}+={0,2}(?![\p{L}0-9])"
+#: What is assigned to a secret word, of any characters but spaces and quotes, from six on; group 1 is context.
+ASSIGNED = r"(?i)((?:passw(?:or)?d|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[\x20\t]{0,3}(?::|=>?)[\x20\t]{0,3}[\"']?)([^\s\"'<>,;]{6,})"
+#: Two and more runs joined by dots, as in signed tokens.
+DOTTED = r"(?<![\p{L}0-9+/_.-])[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]{10,}+)+(?![\p{L}0-9])"
+#: Rows of words that are broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 #: Fixed formats of credentials that services publish.
 FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|sk[-_](live|test)?[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}.*)$"
 SECRET_WORDS = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)"
@@ -43,11 +50,13 @@ def labelled_findings(n: int = 1600, seed: int = 23) -> list[tuple[str, str, str
                 lambda: pick("0123456789abcdef", r.choice((32, 40, 64))), lambda: pick(base62, r.randint(20, 64)), lambda: pick(base62 + "+/", r.choice((24, 40, 64))) + r.choice(("", "=", "==")),
                 lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: r.choice(("ghp_", "gho_")) + pick(base62, 36), lambda: "sk_live_" + pick(base62, 24), lambda: "AIza" + pick(base62 + "_-", 35),
             ))()
+            if i % 10 == 1:
+                made = r.choice((lambda: word(2).title() + pick("!#$%&*?", 1) + pick(string.digits, r.randint(1, 4)), lambda: pick(base62 + "!#$%&*?", r.randint(8, 14)), lambda: ".".join(("eyJ" + pick(base62, 20), pick(base62 + "-_", 30), pick(base62 + "-_", 30)))))()
             key = r.choice(("token", "secret", "api_key", "password", "access_key", "auth_token", "client_secret", "Authorization", "private key"))
             before = prose() + r.choice((f'{key} = "', f"{key}: ", f"{key}=", f"{key}: Bearer ", f"{key} is ")) if r.random() < 0.9 else prose()
             out.append((before, made, '" ' + prose() if before.endswith('"') else " " + prose(), 1))
         else:
-            kind = r.randrange(7)
+            kind = r.randrange(9)
             before, after = prose(), " " + prose()
             if kind <= 1:
                 made = word(r.randint(7, 14))
@@ -60,19 +69,49 @@ def labelled_findings(n: int = 1600, seed: int = 23) -> list[tuple[str, str, str
             elif kind == 5:
                 made = r.choice(("YOUR_API_KEY_GOES_HERE", "x" * r.randint(16, 40), "0" * 32, "-" * r.randint(16, 60), "_" * 24, "REPLACE_WITH_YOUR_TOKEN", "0123456789abcdef0123456789abcdef", "=" * 20))
                 before += r.choice(('token = "', "api_key: ", ""))
+            elif kind == 7:
+                made, before = r.choice((lambda: word(r.randint(2, 4)), lambda: word(2) + "." + word(2), lambda: r.choice(("required", "optional", "changeme", "<none>", "********", "undefined", "${PASSWORD}", "string"))))(), before + r.choice(("password: ", "the token: ", "secret = ", "Passwort: password: "))
+            elif kind == 8:
+                made, before = ".".join(word(r.randint(4, 6)) for _ in range(r.randint(2, 4))), before + r.choice(("www.", "import ", ""))
             else:
                 made, before = pick("0123456789", r.randint(16, 20)), before + r.choice(("", "order ", "id "))
             out.append((before, made, after, 0))
     return out
 
 
+def document_frequency(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
+    """(term, df): in how many rows of docs each of terms (term, distinct) occurs, over whole texts; none: no row.
+
+    Each document's distinct words meet the set of terms before they are counted, and counts combine before the
+    shuffle, so frequent words move no more than rare ones.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(f"({TERM})"), F.lit(1)))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.explode(words).alias("term"))
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        return rows.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return rows.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", before: int = 40, after: int = 20) -> DataFrame:
-    """(id_col, start, end, candidate, before, after) of everything that has a candidate's form, in whole texts."""
+    """(id_col, start, end, candidate, before, after) of everything that has a candidate's form, in whole texts: what is
+    assigned to a secret word, runs joined by dots, and long runs; a candidate within one of an earlier form is that one."""
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", F.explode(found(text, CANDIDATE, F.length("text") >= 16)).alias("s"))
-    left, right = around(text, F.col("s.start"), F.col("s.end"), before)[0], around(text, F.col("s.start"), F.col("s.end"), after)[1]
-    return rows.select(F.col("id").alias(id_col), "s.start", "s.end", F.col("s.value").alias("candidate"), left.alias("before"), right.alias("after"))
+    plain, low = unmarked(text), F.lower(text)
+    named = low.contains("passw") | low.contains("passphrase") | low.contains("pwd") | low.contains("secret") | low.contains("token") | low.contains("credential") | low.contains("key")
+    forms = F.array(marked(plain, ASSIGNED, named, before=True), marked(plain, DOTTED, text.rlike(r"[A-Za-z0-9_-]{10}\.[A-Za-z0-9_-]{10}")), marked(plain, CANDIDATE, F.length(text) >= 16))
+
+    def free(spans: Column, taken: Column) -> Column:
+        inside = lambda s, starts: let(F.get(taken, place_of(starts, s["start"])), lambda t: (t["start"] <= s["start"]) & (t["end"] >= s["end"]))
+        return F.when(F.size(taken) > 0, let(F.transform(taken, lambda t: t["start"]), lambda starts: F.filter(spans, lambda s: ~inside(s, starts)))).otherwise(spans)
+
+    every = let(F.transform(forms, lambda f: located(f)), lambda fs: let(free(fs[1], fs[0]), lambda dotted: F.concat(fs[0], dotted, free(free(fs[2], fs[0]), dotted))))
+    context = lambda held, s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("candidate"),
+        let(F.greatest(F.lit(0), s["start"] - before), lambda at: cut(held, at, s["start"] - at)).alias("before"), cut(held, s["end"], F.lit(after)).alias("after"),
+    )
+    found = let(every, lambda spans: F.when(F.size(spans) > 0, let(blocks(text), lambda held: F.transform(spans, lambda s: context(held, s)))))
+    return rows.select(F.col("id").alias(id_col), F.explode(found).alias("s")).select(id_col, "s.*")
 
 
 def _classes(c: Column) -> Column:
@@ -164,6 +203,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findin
     """Per candidate: id_col, start, end (code points), candidate, score and is_secret (score at least 0.5).
 
     findings: labelled ones to learn from, thousands at most as the driver holds them; by default labelled_findings().
+    Candidates are runs of 16 characters and more, dotted runs, and what is assigned to a secret word from six characters
+    on; shorter secrets, and those that hold spaces, quotes, commas or semicolons, are not seen.
     A word is in the dictionary if at least least_documents documents hold it. Null and empty texts have no candidates.
     Rows that repeat an id, and equal rows, each have theirs. Other columns are ignored.
     """

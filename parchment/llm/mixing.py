@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import let
 from ._common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +30,8 @@ BLOCK_WORDS, BLOCKS_LEAST = 1024, 256
 BLOCKS_MOST = 1 << 28
 #: Shards times sources in the table that is broadcast, 8 bytes each: beyond, shards get larger.
 RANGES_MOST = 1 << 21
+#: Sources whose figures (some 100 bytes each) are broadcast; more are joined by a shuffle.
+CATALOGUE_MOST = 100_000
 #: Documents of a source that are put in order at once.
 ORDERED = 4096
 
@@ -104,7 +107,7 @@ def plan(rows: DataFrame, shard_words: int, seed: int, **shares) -> tuple[DataFr
     kinds = "source string, source_size long, target double, block long, blocks long, quota long, step long, buckets long, nth int, first long"
     catalogue = spark.createDataFrame([(*x, i, a) for i, (x, a) in enumerate(zip(info, accumulate(quotas, initial=0)))], kinds)
     # two levels of prefix sums give each document its place: buckets of a source by hash, then documents of a bucket
-    known = rows.withColumnRenamed("source", "s").join(catalogue, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    known = rows.withColumnRenamed("source", "s").join(F.broadcast(catalogue) if len(info) <= CATALOGUE_MOST else catalogue, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     unit = F.shiftrightunsigned(F.col("u"), 33)
     known = known.withColumn("bucket", F.shiftright(unit * F.col("buckets"), 31))
     of = ["source", "bucket"]
@@ -182,26 +185,27 @@ def _to_shards(ends, shards: int):
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = 1_000_000, seed: int = 17, **shares) -> DataFrame:
     """The mixture: a row for each pass over a document, with the columns of docs. A pass that takes all words keeps the
     text as it is; a partial one has the words it draws, joined by spaces. n_chars, if there, is computed again. Rows
-    are dealt by shard and shuffled within it. Rows that repeat an id and its text count once here; a null source is
-    one source, and documents without words take nothing."""
+    are dealt by shard and shuffled within it. A pass over a document stays whole: it goes to the shard of one of its
+    draws, chosen by hash, so the quotas of shards hold for draws, not for the rows of long documents. Rows that repeat
+    an id and its text count once here; a null source is one source, and documents without words take nothing."""
     parts = F.coalesce(F.col(id_col).cast("string"), F.lit("\u0002")), F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumn("__key", F.sha2(F.concat_ws("\u0001", *parts), 256))
-    sized = _sized(marked, "__key", text_col, source_col)
+    # the columns of docs travel as one, so that no name of theirs can clash
+    whole = docs.select(F.sha2(F.concat_ws("\u0001", *parts), 256).alias("key"), F.struct(*docs.columns).alias("row"))
+    sized = _sized(whole.select("key", F.col("row")[text_col].alias("text"), F.col("row")[source_col].alias("source")), "key", "text", "source")
     quotas = _quotas(sized.groupBy("id").agg(F.min("source").alias("source"), F.min("size").alias("size")), shard_words, seed, **shares)
-    runs = quotas.select(F.col("id").alias("__key"), F.col("size").alias("__size"), F.explode("draws").alias("d")).groupBy("__key", F.col("d.pass").alias("__pass")).agg(
-        F.sum("d.words").alias("__words"), F.first("__size").alias("__size"), F.min("d.shard").alias("__shard"),
-        F.array_sort(F.collect_list(F.struct(F.col("d.from").alias("from"), F.col("d.words").alias("words")))).alias("__ranges"),
+    drawn = quotas.select(F.col("id").alias("key"), "size", F.explode("draws").alias("d"))
+    runs = drawn.groupBy("key", F.col("d.pass").alias("pass")).agg(
+        F.sum("d.words").alias("words"), F.first("size").alias("size"), F.min_by("d.shard", F.xxhash64(F.lit(31), "key", "d.pass", "d.from")).alias("shard"),
+        F.sort_array(F.collect_list(F.struct(F.col("d.from").alias("from"), F.col("d.words").alias("words")))).alias("ranges"),
     )
     # one shuffle of the texts serves the join and what finds repeated rows
-    nth = F.row_number().over(Window.partitionBy("__key", "__pass").orderBy("__shard"))
-    out = runs.join(marked, "__key").withColumn("__nth", nth).where("__nth = 1")
-    words = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["words"].cast("int")))), " ")
-    out = out.withColumn(text_col, F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    spread = F.xxhash64(F.lit(29), "__key", "__pass")
-    return out.repartition("__shard").sortWithinPartitions("__shard", spread).select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("key", "pass").orderBy("shard"))
+    out = runs.join(whole, "key").withColumn("nth", nth).where("nth = 1")
+    words = F.regexp_extract_all(F.col("row")[text_col], F.lit(WORD), F.lit(0))
+    cut = let(words, lambda ws: F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(ws, (r["from"] + 1).cast("int"), r["words"].cast("int")))), " "))
+    out = out.withColumn("made", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("row")[text_col]))
+    out = out.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(29), "key", "pass"))
+    return out.select(*[F.col("made").alias(c) if c == text_col else F.length("made").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

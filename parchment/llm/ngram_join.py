@@ -383,10 +383,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """docs without near copies: of each component the row with the smallest id stays. Rows that repeat an id are one
     document, of which one stays; rows with a null id are in no group and stay."""
     linked = link_documents(docs, id_col, text_col, k, num, **options)
-    leads = linked.where("component_id = " + f"`{id_col}`").select(F.col(id_col).alias("__lead")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(leads, F.col(id_col) == F.col("__lead"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return named.withColumn("__nth", nth).where("__nth = 1").drop("__nth").unionByName(docs.where(F.col(id_col).isNull()))
+    leads = linked.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("lead")).distinct()
+    # the columns of docs travel as one, so that no name of theirs can clash
+    whole = docs.where(F.col(id_col).isNotNull()).select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    named = whole.join(leads, F.col("id") == F.col("lead"), "left_semi")
+    first = named.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("hash"))).where("nth = 1")
+    return first.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -156,15 +156,16 @@ def completions(room: int, counts: np.ndarray, width: int, steps: int) -> tuple[
     return best[:width] or [()], whole and len(best) <= width
 
 
-def bin_completion(counts: np.ndarray, width: int = 3, nodes: int = 20_000) -> Plan:
+def bin_completion(counts: np.ndarray, width: int = 3, nodes: int | None = 20_000) -> Plan:
     """Branch and bound over completions of the largest piece left. Its best is returned, which is the optimum where it
     meets lower_bound() or where the search came to its end.
 
     At first width fillings that look best, with two departures from the first choice at most and each as often as the
     counts allow, over nodes nodes. Where that leaves the bound unmet, over as many nodes again, all fillings with
     smaller multiplicities too: each round doubles the fillings, the departures and the steps that list the fillings,
-    until none of them cuts a branch off.
+    until none of them cuts a branch off. nodes None sets no bound: the search then ends with the optimum.
     """
+    nodes = 1 << 62 if nodes is None else nodes
     total, least = int((counts * np.arange(len(counts))).sum()), lower_bound(counts)
     best = best_fit_decreasing(counts)
     visited = 0

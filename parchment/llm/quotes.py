@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialize
+from ..functions.text import let
+from ._common import materialize, release
 
 #: Turns whose neighbours one task looks up at a time: a conversation of any length is dealt to many tasks.
 BUCKET = 1024
@@ -29,16 +30,13 @@ def passages(text: Column) -> Column:
         F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n", -1),
         lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 1), "[^>]", "")).alias("level"), F.regexp_replace(x, _MARKS, "").alias("body")),
     )
-    kind = "struct<level:int,body:array<string>>"
-    first = F.array().cast(f"array<{kind}>")
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        more = F.struct(last["level"].alias("level"), F.concat(last["body"], F.array(x["body"])).alias("body")).cast(kind)
-        new = F.struct(x["level"].alias("level"), F.array(x["body"]).alias("body")).cast(kind)
-        return F.when(last["level"] == x["level"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(more))).otherwise(F.concat(done, F.array(new)))
+    def runs(ls: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: (i == 0) | (F.get(ls, i)["level"] != F.get(ls, i - 1)["level"]))
+        passage = lambda hs, at, k: F.struct(F.get(ls, at)["level"].alias("level"), F.array_join(F.slice(ls["body"], at + 1, F.coalesce(F.get(hs, k + 1), F.size(ls)) - at), "\n").alias("body"))
+        return let(heads, lambda hs: F.transform(hs, lambda at, k: passage(hs, at, k)))
 
-    return F.transform(F.aggregate(lines, first, add), lambda p: F.struct(p["level"].alias("level"), F.array_join(p["body"], "\n").alias("body")))
+    return let(lines, runs)
 
 
 def folded(body: Column) -> Column:
@@ -110,8 +108,8 @@ def reply_order(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
 
 def _paths(nodes: DataFrame, branch: DataFrame) -> DataFrame:
-    """nodes with parent and path. A branch's path is its parent branch's and the turn it answers; one round per depth of
-    nested branches, each written to the shared folder."""
+    """nodes with parent and path. A branch's path is its parent branch's and the turn it answers; each
+    round, written to the shared folder, doubles the depth of nested branches that is known."""
     # the branch of a turn is the last head up to it, by buckets again
     heads = branch.withColumn("bucket", F.floor(F.col("head") / BUCKET))
     heads = heads.groupBy("conv", "bucket").agg(F.max("head").alias("last"))
@@ -121,14 +119,15 @@ def _paths(nodes: DataFrame, branch: DataFrame) -> DataFrame:
     carried = all_buckets.select("conv", "bucket", F.max("last").over(Window.partitionBy("conv").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     placed = materialize(spread.withColumn("own", own).join(carried, ["conv", "bucket"]).withColumn("head", F.coalesce("own", "carried")).drop("own", "carried", "bucket"), "branches")
     at = branch.join(placed.select("conv", F.col("turn").alias("at"), F.col("head").alias("up")), ["conv", "at"])
-    done = materialize(at.where("up is null").select("conv", "head", F.array("at").alias("base")), "paths")
-    left = materialize(at.where("up is not null"), "paths")
-    new = done
-    while not left.isEmpty():
-        step = left.join(new.select("conv", F.col("head").alias("up"), "base"), ["conv", "up"])
-        new = materialize(step.select("conv", "head", F.concat("base", F.array("at")).alias("base")), "paths")
-        done = done.unionByName(new)
-        left = materialize(left.join(new.select("conv", "head"), ["conv", "head"], "left_anti"), "paths")
+    # each round doubles how far up a branch's path is known
+    done = materialize(at.select("conv", "head", "up", F.array("at").alias("base")), "paths")
+    while not done.where("up is not null").isEmpty():
+        above = done.select("conv", F.col("head").alias("up"), F.col("up").alias("far"), F.col("base").alias("front"))
+        both = done.join(above, ["conv", "up"], "left")
+        front = F.coalesce("front", F.array().cast("array<bigint>"))
+        before, done = done, materialize(both.select("conv", "head", F.col("far").alias("up"), F.concat(front, "base").alias("base")), "paths")
+        release(before)
+    done = done.drop("up")
     out = placed.join(done, ["conv", "head"], "left")
     path = F.concat(F.coalesce("base", F.array().cast("array<bigint>")), F.array("turn"))
     return out.select("conv", "turn", "n_linked", F.coalesce("quoted", "previous").alias("parent"), path.alias("path"))

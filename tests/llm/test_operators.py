@@ -14,11 +14,11 @@ from parchment.llm import ann, mixing, mpeg_audio, ngram_join, packing, pii, qua
 
 LONG = "wort " * 30_000 + "+1 (743) 555-3824 " + "x" * 20_000
 ODD = [(1, None, None), (2, "", "a"), (3, LONG, "a"), (4, "one two three four five six", "b"), (5, "one two three four five six", "b"), (5, "one two three four five six", "b"), (6, "  \n ", "é"), (None, "no id here", "b"), (7, "a\u0001b@c.d \U0001f600 e@f.g", "z")]
-SCHEMA = "doc_id long, text string, source string, digest string, marks int, size int, shard int, audio int, keys int"
+SCHEMA = "doc_id long, text string, source string, digest string, marks int, size int, shard int, audio int, keys int, row int, key int, id int, nth int, pass int"
 
 
 def odd(spark):
-    return spark.createDataFrame([(*r, "d", 1, 2, 3, 4, 5) for r in ODD], SCHEMA)
+    return spark.createDataFrame([(*r, "d", 1, 2, 3, 4, 5, 6, 7, 8, 9, 10) for r in ODD], SCHEMA)
 
 
 def none(spark):
@@ -394,6 +394,13 @@ def fewest(pieces, cap):
     return best
 
 
+def test_unbounded_search_is_optimal():
+    for seed in range(30):
+        pieces = np.random.default_rng(100 + seed).integers(3, 20, 11).tolist()
+        counts = np.bincount(pieces, minlength=31)
+        assert sum(n for _, n in packing.bin_completion(counts, width=1, nodes=None)) == fewest(sorted(pieces, reverse=True), 30)
+
+
 def test_completion_with_production_defaults_is_optimal():
     cases = [(100, (63, 50, 49, 46, 39, 37, 37, 28, 27, 27, 19, 19, 18, 15, 11, 8, 4, 3)), (24, (12, 12, 10, 9, 9, 9, 8, 6, 6, 6, 5, 5, 5, 4, 4, 3, 3, 2, 2))]
     for seed in range(40):
@@ -522,6 +529,12 @@ def test_replies_follow_quotations(spark):
     assert quotes.reply_order(df.limit(0)).collect() == []
 
 
+def test_nested_replies_take_few_rounds(spark):
+    rows = [(1, 0, "u", "message zero")] + [(1, i, "u", f"> message {'zero' if i == 1 else 'n%d' % (i - 1)}\nmessage n{i}") for i in range(1, 40)]
+    got = {r.turn: r.reply_path for r in quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {i: list(range(i + 1)) for i in range(40)}
+
+
 def test_trimmed_quotations_link(spark):
     asked = "alpha one\nbeta two\ngamma three\ndelta four\n\nsecond paragraph\nof two lines\n\nlast one"
     quoted = ["> beta two\n> gamma three", "> second paragraph\n> of two lines\n>\n> last one", "> alpha one\n> beta two gamma three\n> delta four\n>\n> second paragraph of\n> two lines", "> alpha one\n> gamma three", "> gamma"]

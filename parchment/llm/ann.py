@@ -134,7 +134,7 @@ def _usable(col: str, dim: int):
     return F.coalesce((F.size(col) == dim) & fine & F.exists(col, lambda v: v != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, sample_rows: int = 16_384, lists: int | None = None, probe: float = 0.5, rerank: int = 400, shard_rows: int = 16_384, ask_rows: int = 16_384) -> DataFrame:
+def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, sample_rows: int = 16_384, lists: int | None = None, probe: float = 0.35, rerank: int = 250, shard_rows: int = 16_384, ask_rows: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that the condition queries selects, its k nearest among all others.
 
     Vectors that are null, zero, hold a null or non-finite component, or have not the commonest dimension take no part.

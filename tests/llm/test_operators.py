@@ -162,7 +162,7 @@ def test_search_finds_nine_in_ten_and_ranks_exactly(spark):
 def test_blocks_of_queries_change_nothing(spark):
     x = np.random.default_rng(6).standard_normal((600, 8)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    one, many = (sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0, shard_rows=200, ask_rows=n).collect())) for n in (16_384, 7))
+    one, many = (sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0, shard_rows=200, ask_rows=n).collect())) for n in (65_536, 7))
     assert one == many and len(one) == 600
 
 

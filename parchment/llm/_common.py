@@ -7,11 +7,13 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[tuple[SparkSession, str]] = []
 _FALLBACK: dict[str, str] = {}
+#: Rows of one key that a join leaves together, and how many keys at most have more (some 100 bytes each are broadcast).
+TOGETHER, HOT_KEYS = 250, 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +62,23 @@ def release(df: DataFrame) -> None:
     _delete(df.sparkSession, df._shared_path)
 
 
+def join_hot(rows: DataFrame, key: Column, by: Column, one: DataFrame) -> DataFrame:
+    """rows, each with the columns of one (a row per "key") or nulls: a left join by digest that splits hot keys.
+
+    Rows of a key that has over TOGETHER of them (over 1/HOT_KEYS of all, in large tables) are dealt to parts by the hash
+    by, and its row in one is repeated for each part. So fewer than HOT_KEYS keys are hot, whatever the tables hold.
+    """
+    dealt = rows.select(F.struct(*rows.columns).alias("row"), key.alias("key"), by.alias("by"))
+    run = max(TOGETHER, -(-rows.count() // HOT_KEYS))
+    hot = dealt.where("key is not null").groupBy("key").agg(F.ceil(F.count("*") / run).alias("parts")).where("parts > 1")
+    hot = F.broadcast(hot)
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    # null keys meet nothing, and stay apart
+    dealt = dealt.join(hot, "key", "left").withColumn("part", F.when(F.col("key").isNull(), F.col("by")).otherwise(F.pmod("by", parts)))
+    many = one.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.select("row", "key", "part").join(many.drop("parts"), ["key", "part"], "left").select("row.*", *(c for c in one.columns if c != "key"))
+
+
 def pieces(batches, rows: int = 2000):
     """The batches in slices of rows at most: what a function makes of a slice stays small, since one text may hold megabytes."""
     for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blocks, cut, let, place_of
-from ._common import materialize
+from ._common import join_hot, materialize
 from ._spans import TERM, located, marked, unmarked
 
 CANDIDATE = r"(?:\G|(?<![\p{L}0-9+/_-]))[A-Za-z0-9+/_-]{16,}+={0,2}(?![\p{L}0-9])"
@@ -217,17 +217,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findin
     known = materialize(document_frequency(docs, text_col, materialize(terms, "secret-terms")).where(F.col("df") >= least_documents).select("term"), "dictionary")
     transitions = learn_transitions(findings)
 
-    def covered(of: DataFrame) -> DataFrame:
+    def covered(of: DataFrame, by: Column) -> DataFrame:
         words = of.select("candidate").distinct().select("candidate", F.explode(parts(F.col("candidate"))).alias("term")).join(known, "term")
-        return of.join(words.groupBy("candidate").agg(F.sum(F.length("term")).alias("covered")), "candidate", "left")
+        sums = words.groupBy("candidate").agg(F.sum(F.length("term")).alias("covered")).select(F.sha2("candidate", 256).alias("key"), "covered")
+        return join_hot(of, F.sha2("candidate", 256), by, sums)
 
     seen = F.coalesce(F.col("covered"), F.lit(0)).cast("double")
-    taught = features(covered(teach), seen, transitions).select("before", "candidate", *FEATURES, "label").collect()
+    taught = features(covered(teach, F.xxhash64("before", "after")), seen, transitions).select("before", "candidate", *FEATURES, "label").collect()
     taught = sorted(taught, key=lambda r: (r["candidate"], r["before"], r["label"]))
     x = np.array([[r[f] for f in FEATURES] for r in taught], float)
     trees = [compiled(t) for t in forest(x, np.array([r["label"] for r in taught], float))]
     score = sum(trees[1:], trees[0]) / len(trees)
-    scored = features(covered(rows), seen, transitions).withColumn("score", score)
+    scored = features(covered(rows, F.xxhash64(id_col, "start")), seen, transitions).withColumn("score", score)
     return scored.select(id_col, "start", "end", "candidate", F.round("score", 6).alias("score"), (F.round("score", 6) >= 0.5).alias("is_secret"))
 
 

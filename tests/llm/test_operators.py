@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parchment.llm import ann, mixing, mpeg_audio, ngram_join, packing, pii, quality, quotes, secrets, warc
+from parchment.llm import _common, ann, mixing, mpeg_audio, ngram_join, packing, pii, quality, quotes, secrets, warc
 
 LONG = "wort " * 30_000 + "+1 (743) 555-3824 " + "x" * 20_000
 ODD = [(1, None, None), (2, "", "a"), (3, LONG, "a"), (4, "one two three four five six", "b"), (5, "one two three four five six", "b"), (5, "one two three four five six", "b"), (6, "  \n ", "é"), (None, "no id here", "b"), (7, "a\u0001b@c.d \U0001f600 e@f.g", "z")]
@@ -329,6 +329,20 @@ def test_mixture_of_odd_rows(spark):
     assert mixing.mix_documents(none(spark)).collect() == []
 
 
+# ---- joins by digest ----------------------------------------------------------------------------------------------------
+
+
+def test_hot_keys_are_split_and_no_row_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(_common, "TOGETHER", 10)
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i % 8}", i % 5) for i in range(600)], "id long, digest string, part long")
+    one = spark.createDataFrame([("hot", 1), ("k0", 2), ("gone", 3)], "key string, y int")
+    got = _common.join_hot(rows, F.col("digest"), F.xxhash64("id"), one)
+    want = rows.join(one.withColumnRenamed("key", "digest"), "digest", "left").select("id", "digest", "part", "y")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert _common.join_hot(rows.limit(0), F.col("digest"), F.xxhash64("id"), one).collect() == []
+    assert _common.join_hot(rows, F.col("digest"), F.xxhash64("id"), one.limit(0)).where("y is null").count() == 600
+
+
 # ---- 6 ------------------------------------------------------------------------------------------------------------------
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import components, materialize, mix, pieces, shingle_set, shingles
+from ._common import components, join_hot, materialize, mix, pieces, shingle_set, shingles
 
 LEAF = 16
 #: Elements that small sets have at most at level 0, and the least bits of a signature.
@@ -371,12 +371,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _deal(near.join(sizes, "id"), {"*": block_rows, "n": block_shingles}).select(*order).join(texts, "id")
     links = rows.repartition("lead", "i", "j").sortWithinPartitions(*order).select(*order, "text").mapInArrow(_join_blocks(k, num, den), "a long, b long")
     groups = components(links)
-    return (
-        sets.select("id", "n", "digest")
-        .join(classes, "digest", "left")
-        .join(groups, F.col("rep") == F.col("node"), "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), None).when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
-    )
+    named = classes.join(groups, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("key"), F.coalesce("component", "rep").alias("least"))
+    least = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("least", "id"))
+    # what has no shingles is in no class, whatever its digest
+    out = join_hot(sets.select("id", "n", "digest"), F.when(F.col("n") > 0, F.col("digest")), F.xxhash64("id"), named)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), least.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, **options) -> DataFrame:

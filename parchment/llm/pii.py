@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, place_of
-from ._common import materialize
+from ._common import join_hot, materialize
 from ._spans import TERM, located, marked, replaced, unmarked, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -158,8 +158,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     span = F.struct("start", "end", F.col("term").alias("value"), (F.col("disclosure") >= remove_at).alias("removed"))
     kind = "array<struct<kind:string,start:int,end:int,value:string,removed:boolean>>"
     told = F.transform(F.sort_array(F.collect_list(span)), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["removed"].alias("removed")))
-    terms = terms.groupBy("digest").agg(told.alias("terms"))
-    out = rows.select("id", "digest", "base").join(terms, "digest", "left")
+    terms = terms.groupBy(F.col("digest").alias("key")).agg(told.alias("terms"))
+    out = join_hot(rows.select("id", "digest", "base"), F.col("digest"), F.xxhash64("id"), terms)
     return out.select(F.col("id").alias(id_col), "digest", "base", F.coalesce("terms", F.array().cast(kind)).alias("terms"))
 
 

@@ -201,6 +201,65 @@ def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nd
     return out, compared
 
 
+def _common_counts(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of others shares with each of rows (few, each without repeats)."""
+    out = np.zeros((len(others), len(rows)), np.int64)
+    lengths = np.array([len(s) for s in others], np.int64)
+    some = np.flatnonzero(lengths)
+    if not len(some) or not any(map(len, rows)):
+        return out
+    known, place = np.unique(np.concatenate(rows), return_inverse=True)
+    member = np.zeros((len(known), len(rows)), np.uint8)
+    member[place, np.repeat(np.arange(len(rows)), [len(s) for s in rows])] = 1
+    starts = np.cumsum(lengths[some]) - lengths[some]
+    flat = np.concatenate([others[i] for i in some])
+    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    out[some] = np.add.reduceat(member[at] * (known[at] == flat)[:, None], starts, axis=0, dtype=np.int64)
+    return out
+
+
+def count_links(lead: int, left: list[tuple], right: list[tuple] | None, num: int, den: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Compare every pair of the block that may link: a spanning forest of the links, and per row of left + right the
+    copies of its partners. Items: (id, set, copies, leads). Two documents may meet in several blocks: their link counts
+    in that of their least common lead alone, so that nothing needs to list the pairs."""
+    every = left + (right or [])
+    sets, copies = [d[1] for d in every], np.array([d[2] for d in every], np.int64)
+    earlier = [np.array([v for v in d[3] if v < lead], np.int64) for d in every]
+    middle = sorted(map(len, sets))[len(sets) // 2]
+    bits = min(1 << 14, max(256, 1 << (4 * middle - 1).bit_length()))
+    # trees of places in every
+    x, y = (SignatureTree.of_sets([(i, sets[i]) for i in part], bits) if len(part) else None for part in (range(len(left)), range(len(left), len(every))))
+    y = x if right is None else y
+    found, label, forest = np.zeros(len(every), np.int64), np.arange(len(every)), []
+    li, lj = dual_traversal(x, y, num, den)
+    for a in np.unique(li).tolist():
+        rows = np.array(x.ids[a * LEAF : (a + 1) * LEAF])
+        leaves = lj[li == a]
+        sizes = np.add.reduceat(y.size, np.arange(0, len(y.size), LEAF))[leaves]
+        for part in np.split(leaves, np.flatnonzero(np.diff(np.cumsum(sizes) >> 18)) + 1):
+            cols = np.concatenate([y.ids[b * LEAF : (b + 1) * LEAF] for b in part.tolist()])
+            place = np.concatenate([np.arange(b * LEAF, min((b + 1) * LEAF, len(y.ids))) for b in part.tolist()])
+            ok = _common_counts([earlier[i] for i in rows], [earlier[i] for i in cols]) == 0
+            if x is y:
+                ok &= place[:, None] > np.arange(a * LEAF, a * LEAF + len(rows))[None, :]
+            some = ok.any(axis=1)
+            if not some.any():
+                continue
+            cols, ok = cols[some], ok[some]
+            n, m = (np.array([len(sets[i]) for i in v], np.int64) for v in (cols, rows))
+            ok &= _common_counts([sets[i] for i in rows], [sets[i] for i in cols]) >= overlap_needed(n[:, None], m[None, :], num, den)
+            np.add.at(found, cols, ok @ copies[rows])
+            np.add.at(found, rows, copies[cols] @ ok)
+            while True:
+                p, q = np.divmod(np.argmax(ok & (label[cols][:, None] != label[rows][None, :])), len(rows))
+                u, v = label[cols[p]], label[rows[q]]
+                if not ok[p, q] or u == v:
+                    break
+                forest.append((every[cols[p]][0], every[rows[q]][0]))
+                label[label == max(u, v)] = min(u, v)
+    return forest, found
+
+
 # ---- what runs on the executors ------------------------------------------------------------------------------------
 
 
@@ -280,7 +339,7 @@ def _route(k: int, num: int, den: int, tables):
                     keys.append(np.unique(_order(words, found, weight, kind))[: len(s) - -(-(num * len(s)) // den) + 1])
                 ends.append(ends[-1] + (len(keys[-1]) if len(s) else 0))
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array([x[i] for x in signs], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary())))], ["id", "n", "digest", "keys", "level", "map", "next"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array([x[i] for x in signs], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary())))], ["id", "hash", "n", "digest", "keys", "level", "map", "next"])
 
     return run
 
@@ -322,6 +381,23 @@ def _join_blocks(k: int, num: int, den: int):
     return run
 
 
+def _count_blocks(k: int, num: int, den: int):
+    """Links as (a, b, null), and per document and block the copies of its partners as (id, hash, links)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (lead, _, _), left, right in _by_block(batches, ("id", "hash", "copies", "leads", "text")):
+            # rows that repeat an id and its text are one
+            sides = [None if side is None else {d[:2]: d for d in side} for side in (left, right)]
+            if len(sides[0]) > 1 if right is None else left and right:
+                items = [None if side is None else [(d, shingle_set(t, k), c or 0, v) for d, _, c, v, t in side.values()] for side in sides]
+                forest, found = count_links(lead, *items, num, den)
+                counted = [(*key, n) for key, n in zip([key for side in sides for key in side or ()], found.tolist()) if n]
+                rows = [(a, b, None) for a, b in forest] + counted
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "b", "links"])
+
+    return run
+
+
 def _deal(rows: DataFrame, most: dict[str, int]) -> DataFrame:
     """rows of (lead, id, ...) by block, or, where a block exceeds most (rows: *, or sums), by pairs (i, j) of its parts."""
     parts = F.greatest(*[F.ceil((F.count("*") if c == "*" else F.sum(c)) / n) for c, n in most.items()], F.lit(1)).cast("int")
@@ -331,8 +407,8 @@ def _deal(rows: DataFrame, most: dict[str, int]) -> DataFrame:
     return dealt
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, block_rows: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
-    """Per document (id_col, n_shingles, component_id).
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, block_rows: int = 4096, block_shingles: int = 4_000_000, count: bool = False) -> DataFrame:
+    """Per document (id_col, n_shingles, component_id), and with count its n_links.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set is the distinct k-word shingles (with fewer words
     the whole sequence is one). Documents link when den * intersection >= num * union; a component is named by its
@@ -341,13 +417,16 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links are symmetric. Other columns are ignored; an empty table gives an empty result.
     block_rows and block_shingles bound the documents that one task holds at a time; larger blocks are dealt as pairs
     of sub-blocks.
+    n_links is the number of other rows with an id that the row links with, rows of equal sets included; it is null where the
+    id is. Without count, pairs that a component already joins are not compared; with it every pair that the trees leave is.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
     tables = spark.sparkContext.broadcast(rarity(docs, "text", k))
-    sets = materialize(docs.mapInArrow(_route(k, num, den, tables), "id long, n long, digest binary, keys array<long>, level int, map binary, next binary"), "prefixes")
+    sets = materialize(docs.mapInArrow(_route(k, num, den, tables), "id long, hash long, n long, digest binary, keys array<long>, level int, map binary, next binary"), "prefixes")
     # equal sets are one class, led by its smallest id
-    classes = sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+    classes = sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("least"), F.count("*").alias("copies"))
+    classes = classes.select("digest", F.col("least.id").alias("rep"), F.col("least.hash").alias("hash"), "copies")
     routed = sets.where("n > 0 and id is not null").select("id", F.explode("keys").alias("key"))
     # the smallest id with a key leads its block. Keys that the sketches call frequent may hold any share of all rows:
     # their least ids are found by an aggregation that combines before the shuffle; one sort serves the others
@@ -368,14 +447,28 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = near.select("id").distinct()
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    rows = _deal(near.join(sizes, "id"), {"*": block_rows, "n": block_shingles}).select(*order).join(texts, "id")
-    links = rows.repartition("lead", "i", "j").sortWithinPartitions(*order).select(*order, "text").mapInArrow(_join_blocks(k, num, den), "a long, b long")
+    dealt, more, joined = near.join(sizes, "id"), [], _join_blocks(k, num, den)
+    if count:
+        # of each class one row, its least, counts for all copies
+        ranked = classes.select(F.col("rep").alias("id"), "hash", "copies").join(wanted, "id", "left_semi")
+        texts = texts.join(F.broadcast(ranked) if few and ranked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ranked, ["id", "hash"], "left")
+        dealt, more, joined = dealt.join(near.groupBy("id").agg(F.collect_list("lead").alias("leads")), "id"), ["leads", "hash", "copies"], _count_blocks(k, num, den)
+    rows = _deal(dealt, {"*": block_rows, "n": block_shingles}).select(*order, *more[:1]).join(texts, "id")
+    links = rows.repartition("lead", "i", "j").sortWithinPartitions(*order).select(*order, *more, "text").mapInArrow(joined, "a long, b long" + ", links long" * count)
+    if count:
+        links = materialize(links, "links")
+        found = links.where("links is not null").groupBy(F.col("a").alias("rep"), F.col("b").alias("hash")).agg(F.sum("links").alias("links"))
+        classes = classes.join(found, ["rep", "hash"], "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+        links = links.where("links is null").select("a", "b")
     groups = components(links)
-    named = classes.join(groups, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("key"), F.coalesce("component", "rep").alias("least"))
+    shown = [F.col("links").alias("n_links")] if count else []
+    named = classes.join(groups, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("key"), F.coalesce("component", "rep").alias("least"), *shown)
     least = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("least", "id"))
+    if count:
+        shown = [F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")]
     # what has no shingles is in no class, whatever its digest
     out = join_hot(sets.select("id", "n", "digest"), F.when(F.col("n") > 0, F.col("digest")), F.xxhash64("id"), named)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), least.alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), least.alias("component_id"), *shown)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, **options) -> DataFrame:
@@ -391,4 +484,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), count=True)

@@ -116,6 +116,44 @@ def test_links_below_one_half_cross_levels(spark):
     assert got == {d: c for d, (_, c) in components(docs, 3, 40, 100).items()} == {1: 1, 2: 1, 3: 1}
 
 
+def links(docs, k, num, den):
+    """How many others each document links with, by comparing all."""
+    sets = {}
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    return {d: sum(1 for e, t in sets.items() if e != d and s & t and den * len(s & t) >= num * len(s | t)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("k,num,rows", [(3, 90, 4096), (3, 60, 3), (2, 30, 4096), (3, 70, 20)])
+def test_links_are_counted_once_each(spark, k, num, rows):
+    """Near copies meet in several blocks; copies of one text have each other's links."""
+    docs = list(enumerate(prose(200) + prose(60))) + [(900 + i, "one two three four " * 4 + f"five{i % 7}") for i in range(40)] + [(990, " ")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_join.link_documents(df, k=k, num=num, block_rows=rows, count=True).collect()}
+    assert {d: r.n_links for d, r in got.items()} == links(docs, k, num, 100)
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == components(docs, k, num, 100)
+
+
+@pytest.mark.parametrize("rows", [4096, 50])
+def test_links_of_many_near_copies(spark, rows):
+    r = random.Random(8)
+    docs = []
+    for i in range(300):
+        words = [f"p{j}" for j in range(120)]
+        for _ in range(i % 4):
+            words[r.randrange(len(words))] = f"n{r.randrange(9)}"
+        docs.append((1000 - i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in ngram_join.link_documents(df, block_rows=rows, count=True).collect()} == links(docs, 3, 90, 100)
+
+
+def test_links_of_odd_rows(spark):
+    got = sorted(((r.doc_id, r.n_links) for r in ngram_join.link_documents(odd(spark), count=True).collect()), key=str)
+    assert got == [(1, 0), (2, 0), (3, 0), (4, 2), (5, 2), (5, 2), (6, 0), (7, 0), (None, None)]
+    assert ngram_join.link_documents(none(spark), count=True).collect() == []
+
+
 def test_null_ids_have_no_component(spark):
     docs = [(1, "a b c d e"), (None, "a b c d e"), (None, None)]
     got = ngram_join.link_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()

@@ -44,7 +44,8 @@ def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Indexed lines and document texts of the rendered claims."""
-    lines = ln.index_lines(ln.clean_lines(ln.split_pages(render.pages(spark, sf_dir)), normalise=False))
+    pages = render.pages(spark, sf_dir).repartition("doc_id")  # dealt once, as pages; all that follows is keyed by doc_id
+    lines = ln.index_lines(ln.clean_lines(ln.split_pages(pages), normalise=False))
     return lines, ln.document_texts(lines)
 
 

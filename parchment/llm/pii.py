@@ -145,8 +145,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     own = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     digest = F.sha2("text", 256).alias("digest")
     rows = own.withColumn("base", base_spans(F.col("text"))).withColumn("words", F.when(F.size("base") > 0, words(masked(F.col("text"), F.col("base")))))
-    rows = materialize(rows.select("id", digest, "base", "words", near(F.col("base"), F.col("words"), window, most).alias("near")), "pii")
-    texts = materialize(rows.where("size(base) > 0").dropDuplicates(["digest"]).select("digest", "words", "near"), "pii-texts")
+    rows = materialize(rows.select("id", digest, "base", "words", near(F.col("base"), F.col("words"), window, most).alias("near"), F.monotonically_increasing_id().alias("nth")), "pii")
+    # one row of each text, chosen by its number alone: the words, many times the size of all else here, stay where they are
+    held = rows.where("size(base) > 0")
+    firsts = held.groupBy("digest").agg(F.min("nth").alias("nth")).select("nth")
+    texts = materialize(held.join(_few(firsts), "nth", "left_semi").select("digest", "words", "near"), "pii-texts")
     least = rows.agg(F.countDistinct("digest")).first()[0]
     telling = telling_terms(own.select(digest, "text"), texts, support, generalise_at, remove_at, least)
     with_base = texts.select("digest", F.explode("words").alias("w")).select("digest", "w.*").join(_few(telling), ["digest", "term"])

@@ -558,6 +558,15 @@ def test_terms_beside_what_values_share_and_beside_single_values(spark):
     assert all(rows[i] == ["quentrix"] for i in range(6)) and rows[4006] == ["call", "zorblatt"] and not any(rows[i] for i in range(6, 4006))
 
 
+def test_pii_words_stay_where_they_are(spark, monkeypatch):
+    plans, write = {}, pii.materialize
+    monkeypatch.setattr(pii, "materialize", lambda df, tag: plans.update({tag: df._jdf.queryExecution().executedPlan().toString()}) or write(df, tag))
+    df = spark.createDataFrame([(i, f"call Quentrix at q{i // 2}@secret.example now") for i in range(6)], "doc_id long, text string")
+    assert len({(r.digest, str(r.base), str(r.terms)) for r in pii.find(df).collect()}) == 3
+    moved = [x for x in plans["pii-texts"].split("\n") if "Exchange" in x or "Sort" in x or "Aggregate" in x]
+    assert not [x for x in moved if "words" in x or "near" in x]
+
+
 def test_sanitised_odd_rows(spark):
     rows = pii.sanitise(odd(spark))
     assert rows.columns == odd(spark).columns and rows.count() == len(ODD) and pii.sanitise(none(spark)).collect() == []

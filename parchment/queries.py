@@ -17,6 +17,7 @@ from .operators.timeline import timeline
 from .plans.analyze import Providers, analyze, to_json
 from .render import CLAIMS, CONTOURS
 from .sources import uploads as up
+from .storage import materialize
 
 QUERIES, SQL = {}, {}
 #: The year that bounds dates in the registered queries.
@@ -327,7 +328,7 @@ def rule_checks(spark, sf_dir):
 
 @query()
 def responses(spark, sf_dir):
-    return to_json(analyze(render.pages(spark, sf_dir), Providers(AS_OF), contours=render.table(spark, sf_dir, CONTOURS))["responses"])
+    return to_json(analyze(render.pages(spark, sf_dir), Providers(AS_OF), contours=render.table(spark, sf_dir, CONTOURS), keep=materialize)["responses"])
 
 
 # ---- tables and visuals -------------------------------------------------------------------------------------------------
